@@ -622,5 +622,5 @@ def oracle_sql() -> dict[str, str]:
     made = {}
     for name, body in _bodies().items():
         body = body.strip()
-        made[name] = f"SELECT * FROM ({with_stages(body)})" if body.startswith("WITH") else with_stages(body)
+        made[name] = with_stages(f"SELECT * FROM ({body})" if body.startswith("WITH") else body)
     return made

@@ -45,7 +45,8 @@ def query(name: str) -> Callable[[Query], Query]:
 def _prepared(s: SparkSession, d: str) -> preprocess.Prepared:
     def build() -> preprocess.Prepared:
         made = preprocess.prepare(raw_customers(s, d))
-        return preprocess.Prepared(stage(made.table, "prepared"), made.fills, made.bounds)
+        marked = once(s, ("marked", d), lambda: split.assign_test(made.table))
+        return preprocess.Prepared(marked.drop("is_test"), made.fills, made.bounds)
 
     return keep(s, ("prepared", d), build)
 
@@ -60,7 +61,9 @@ def _unique(s: SparkSession, d: str) -> DataFrame:
 
 
 def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return keep(s, ("parts", d), lambda: split.stratified_split(_prepared(s, d).table))
+    _prepared(s, d)
+    marked = once(s, ("marked", d), lambda: split.assign_test(_prepared(s, d).table))
+    return marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
 
 
 def _feature_params(s: SparkSession, d: str) -> features.FeatureParams:

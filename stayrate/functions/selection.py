@@ -83,9 +83,8 @@ def hash_cuts(
     return cuts
 
 
-def part_number(stratum: str, key: str, seed: int, cuts: dict[object, list[int]]) -> Column:
+def part_number(stratum: str, h: Column, cuts: dict[object, list[int]]) -> Column:
     """Index of the part of each row: how many cuts of its class lie at or below its hash."""
-    h = key_hash(key, seed)
     result = F.lit(None).cast("int")
     for value, limits in cuts.items():
         passed = F.lit(0)

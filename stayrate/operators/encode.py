@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stayrate.errors import InputError
 from stayrate.functions.modes import categories
 from stayrate.functions.quantiles import exact_quantiles
 from stayrate.operators.checks import (
@@ -65,14 +66,17 @@ def fit_scaler(train: DataFrame, columns: Sequence[str], method: str = "standard
     require_known(method, SCALERS, "scaling method")
     columns = require_some(columns, "scaling")
     require_numeric(train, columns)
-    require_non_empty(train)
     if method == "robust":
+        require_non_empty(train)
         found = exact_quantiles(train, {c: [0.25, 0.5, 0.75] for c in columns})
         pairs = {c: (q[1], q[2] - q[0]) if q[1] is not None else (0.0, 1.0) for c, q in found.items()}
     else:
         first, second = (F.avg, F.stddev_pop) if method == "standard" else (F.min, F.max)
-        row = train.agg(*[f(F.col(c).cast("double")) for c in columns for f in (first, second)]).first()
         pairs = {}
+        figures = [f(F.col(c).cast("double")) for c in columns for f in (first, second)]
+        row = train.agg(*figures, F.count("*").alias("rows")).first()
+        if not row["rows"]:
+            raise InputError("no rows to fit on")
         for i, c in enumerate(columns):
             center, other = row[2 * i] or 0.0, row[2 * i + 1] or 0.0
             pairs[c] = (center, other if method == "standard" else other - center)

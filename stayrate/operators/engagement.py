@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate import schema
+from stayrate.errors import InputError
 from stayrate.functions.scalars import clip, min_max, round_half_even
-from stayrate.operators.checks import require_columns, require_fitted, require_non_empty
+from stayrate.operators.checks import require_columns, require_fitted
 
 
 @dataclass(frozen=True)
@@ -32,8 +33,10 @@ def fit_engagement(train: DataFrame, target: tuple[float, float] = (0.0, 100.0))
     """Two one-row aggregates: ranges of the inputs, then the range of their weighted sum."""
     columns = list(schema.ENGAGEMENT_WEIGHTS)
     require_columns(train, columns)
-    require_non_empty(train)
-    row = train.agg(*[f(F.col(c).cast("double")) for c in columns for f in (F.min, F.max)]).first()
+    extremes = [f(F.col(c).cast("double")) for c in columns for f in (F.min, F.max)]
+    row = train.agg(*extremes, F.count("*").alias("rows")).first()
+    if not row["rows"]:
+        raise InputError("no rows to fit on")
     ranges = {c: [row[2 * i] or 0.0, row[2 * i + 1] or 0.0] for i, c in enumerate(columns)}
     total = weighted_sum(ranges)
     ends = train.agg(F.min(total), F.max(total)).first()

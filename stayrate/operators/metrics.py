@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.running import running_totals
+from stayrate.session import stage
 
 
 def accuracy(df: DataFrame, label: str = "churn", pred: str = "predicted_churn") -> DataFrame:
@@ -81,8 +82,11 @@ def classification_report(df: DataFrame, label: str = "churn", pred: str = "pred
     return totals.select(F.explode(F.when(F.col("whole") == 1, summary).otherwise(single)).alias("r")).select("r.*")
 
 
-def _curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Per distinct score, positives and negatives with at least that score."""
+def _curve(df: DataFrame, label: str, score: str) -> tuple[DataFrame, int, int]:
+    """Per distinct score, positives and negatives with at least that score; and both totals.
+
+    The counts per score are staged, so the scored table itself is read once.
+    """
     counted = (
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(score).alias("threshold"))
@@ -91,14 +95,9 @@ def _curve(df: DataFrame, label: str, score: str) -> DataFrame:
             F.count_if(F.col(label) == 0).alias("neg"),
         )
     )
-    return running_totals(counted, "threshold", {"pos": "tp", "neg": "fp"}, descending=True)
-
-
-def _class_sizes(df: DataFrame, label: str, score: str) -> tuple[int, int]:
-    row = df.where(F.col(score).isNotNull()).agg(
-        F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    ).first()
-    return row[0], row[1]
+    kept = stage(counted, "scores")
+    pos, neg = kept.agg(F.sum("pos"), F.sum("neg")).first()
+    return running_totals(kept, "threshold", {"pos": "tp", "neg": "fp"}, descending=True), pos or 0, neg or 0
 
 
 def roc_auc(df: DataFrame, label: str = "churn", score: str = "risk_score") -> DataFrame:
@@ -108,18 +107,17 @@ def roc_auc(df: DataFrame, label: str = "churn", score: str = "risk_score") -> D
     grows with the square of the rows.
     """
     big = "decimal(38,1)"
-    curve = _curve(df, label, score)
+    curve, pos, neg = _curve(df, label, score)
     # a negative is beaten by positives of higher scores and half beaten by those of its own score
     above = (F.col("tp") - F.col("pos")).cast("decimal(18,0)") + F.col("pos").cast("decimal(18,0)") * F.lit("0.5").cast("decimal(2,1)")
     won = F.sum((F.col("neg").cast("decimal(18,0)") * above).cast(big)).cast("double")
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return curve.agg(F.try_divide(won, pairs).alias("roc_auc"))
+    return curve.agg(F.try_divide(won, F.lit(float(pos) * float(neg))).alias("roc_auc"))
 
 
 def roc_points(df: DataFrame, label: str = "churn", score: str = "risk_score") -> DataFrame:
     """False and true positive rate at every score threshold."""
-    pos, neg = _class_sizes(df, label, score)
-    return _curve(df, label, score).select(
+    curve, pos, neg = _curve(df, label, score)
+    return curve.select(
         "threshold",
         F.try_divide(F.col("fp").cast("double"), F.lit(float(neg))).alias("fpr"),
         F.try_divide(F.col("tp").cast("double"), F.lit(float(pos))).alias("tpr"),
@@ -128,8 +126,8 @@ def roc_points(df: DataFrame, label: str = "churn", score: str = "risk_score") -
 
 def pr_points(df: DataFrame, label: str = "churn", score: str = "risk_score") -> DataFrame:
     """Precision and recall at every score threshold."""
-    pos, _ = _class_sizes(df, label, score)
-    return _curve(df, label, score).select(
+    curve, pos, _ = _curve(df, label, score)
+    return curve.select(
         "threshold",
         F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")).alias("precision"),
         F.try_divide(F.col("tp").cast("double"), F.lit(float(pos))).alias("recall"),

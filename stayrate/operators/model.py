@@ -15,7 +15,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.operators.checks import columns_by_type, require_columns, require_known
@@ -33,6 +33,7 @@ LABEL = "churn"
 NOT_FEATURES = ("customer_id", "churn", "registration_date", "last_purchase_date", "is_test", "fold")
 # Columns computed from the label, or from which the label is computed in the derived customer table.
 LEAKING = ("recency_days", "rfm_segment", "customer_lifetime_value")
+SMALL_TRAINING, ROWS_PER_TASK = 1_000_000, 2_500
 MODELS = ("Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting")
 
 
@@ -86,10 +87,10 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     return counts.select(label, "rows", weight.alias("weight"))
 
 
-def weight_column(df: DataFrame, label: str = LABEL) -> Column:
+def weight_column(weights: list[Row], label: str = LABEL) -> Column:
     """The balanced weight of each row; classes are few, so they become literals."""
     weight = F.lit(1.0)
-    for row in class_weights(df, label).collect():
+    for row in weights:
         weight = F.when(F.col(label) == row[label], F.lit(row["weight"])).otherwise(weight)
     return weight
 
@@ -105,14 +106,20 @@ def _held(df: DataFrame) -> Iterator[DataFrame]:
 
 
 def _training_rows(matrix: DataFrame, names: Sequence[str], balanced: bool) -> DataFrame:
-    weight = weight_column(matrix) if balanced else F.lit(1.0)
+    weights = class_weights(matrix).collect()
+    weight = weight_column(weights) if balanced else F.lit(1.0)
     extra = [F.col("fold")] if "fold" in matrix.columns else []
-    return matrix.select(
+    rows = matrix.select(
         *[F.col(f"`{n}`").cast("double").alias(n) for n in names],
         F.col(LABEL).cast("double").alias("label"),
         weight.alias("weight"),
         *extra,
     )
+    size = sum(r["rows"] for r in weights)
+    if size > SMALL_TRAINING:
+        return rows  # a table of this size comes in many files already
+    cores = matrix.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(cores, size // ROWS_PER_TASK)))
 
 
 def _assembler(names: Sequence[str]) -> VectorAssembler:
@@ -217,12 +224,16 @@ def compare_models(
     ``options`` gives settings per model, with blanks in the model name written as underscores.
     """
     rows = []
-    for name in models:
-        model = train_model(train, names, name, **options.get(name.replace(" ", "_"), {}))
-        marked = _scored_rows(test, names, model).select(
-            F.col(LABEL).cast("bigint").alias("label"), F.col("prediction").cast("bigint").alias("pred")
-        )
-        rows.append({"model": name, **_metric_row(marked)})
+    shared_folder(train.sparkSession)
+    assembled = _assembler(names).transform(_training_rows(train, names, balanced=True))
+    checked = _assembler(names).transform(_training_rows(test, names, balanced=False))
+    with _held(assembled.select("features", "label", "weight")) as known, _held(checked.select("features", "label")) as new:
+        for name in models:
+            fitted = classifier(name, **options.get(name.replace(" ", "_"), {})).fit(known)
+            marked = fitted.transform(new).select(
+                F.col("label").cast("bigint").alias("label"), F.col("prediction").cast("bigint").alias("pred")
+            )
+            rows.append({"model": name, **_metric_row(marked)})
     rows.sort(key=lambda r: (-r["f1"], r["model"]))
     fields = "model string, accuracy double, precision double, recall double, f1 double"
     return train.sparkSession.createDataFrame(rows, fields)

@@ -245,13 +245,21 @@ def sales_by_region(orders: DataFrame, customer: DataFrame, nation: DataFrame, r
 
 def demographic_segments(df: DataFrame, keys: Sequence[str] = ("age_group", "gender", "city")) -> DataFrame:
     """Customers, churn rate and spend for every combination of age group, gender and city, with
-    subtotals. A key that a line does not split by reads ``All``."""
-    grouped = df.withColumn("age_group", F.coalesce(age_group("age"), F.lit("Unknown"))).cube(*keys)
-    totals = grouped.agg(
-        *[F.grouping(k).alias(f"_{k}") for k in keys],
+    subtotals. A key that a line does not split by reads ``All``.
+
+    Rows are added up for the full combination first; only these sums are multiplied for subtotals.
+    """
+    finest = df.withColumn("age_group", F.coalesce(age_group("age"), F.lit("Unknown"))).groupBy(*keys).agg(
         F.count("*").alias("customers"),
-        F.avg(F.col("churn").cast("double")).alias("churn_rate"),
-        money_sum("total_spend").alias("revenue"),
+        F.sum("churn").alias("churned"),
+        F.count("churn").alias("labelled"),
+        F.sum(F.col("total_spend").cast("decimal(24,6)")).alias("revenue"),
+    )
+    totals = finest.cube(*keys).agg(
+        *[F.grouping(k).alias(f"_{k}") for k in keys],
+        F.sum("customers").cast("bigint").alias("customers"),
+        F.try_divide(F.sum("churned").cast("double"), F.sum("labelled").cast("double")).alias("churn_rate"),
+        F.sum("revenue").cast("double").alias("revenue"),
     )
     labels = [F.when(F.col(f"_{k}") == 1, "All").otherwise(F.col(k)).alias(k) for k in keys]
     return totals.select(*labels, "customers", "churn_rate", "revenue")

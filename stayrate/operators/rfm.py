@@ -12,7 +12,7 @@ from stayrate import schema
 from stayrate.errors import InputError
 from stayrate.functions.quantiles import exact_quantiles
 from stayrate.functions.scalars import days_between, quantile_band
-from stayrate.operators.checks import require_columns, require_fitted, require_non_empty
+from stayrate.operators.checks import require_columns, require_fitted
 
 FIFTHS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 
@@ -37,8 +37,8 @@ def _distinct(edges: list[float | None]) -> list[float]:
 def fit_rfm(train: DataFrame) -> RfmParams:
     """Latest purchase and quintile edges of a training table; equal edges are merged."""
     require_columns(train, schema.RFM_COLUMNS)
-    require_non_empty(train)
-    latest: datetime | None = train.agg(F.max(F.col("last_purchase_date").cast("timestamp_ntz"))).first()[0]
+    latest: datetime | None
+    latest, rows = train.agg(F.max(F.col("last_purchase_date").cast("timestamp_ntz")), F.count("*")).first()
     if latest is None:
         raise InputError("no purchase date to fit on")
     reference = latest.isoformat(sep=" ")
@@ -46,6 +46,7 @@ def fit_rfm(train: DataFrame) -> RfmParams:
     edges = exact_quantiles(
         train.select(recency.alias("recency"), "total_orders", "total_spend"),
         {c: FIFTHS for c in ("recency", "total_orders", "total_spend")},
+        rows=rows,
     )
     return RfmParams(reference, *[_distinct(edges[c]) for c in ("recency", "total_orders", "total_spend")])
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.selection import hash_cuts, part_number
+from stayrate.functions.selection import hash_cuts, key_hash, part_number
 from stayrate.operators.checks import require_columns
 
 
@@ -22,7 +22,8 @@ def assign_parts(
     """Number the parts cut at the cumulative ``shares`` of every class, exact to one row per class."""
     require_columns(df, [label, key])
     cuts = hash_cuts(df, label, key, seed, shares)
-    return df.withColumn(column, part_number(label, key, seed, cuts))
+    hashed = df.withColumn("_hash", key_hash(key, seed))
+    return hashed.withColumn(column, part_number(label, F.col("_hash"), cuts)).drop("_hash")
 
 
 def assign_test(

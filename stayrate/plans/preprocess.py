@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from stayrate import schema
-from stayrate.operators.checks import require_columns, require_non_empty
+from stayrate.operators.checks import require_columns, require_known, require_non_empty
 from stayrate.operators.clean import (
-    FillValues, Stager, clean_customers, dedupe_first, fill_and_type, fit_fill_values, nan_to_null,
+    FillValues, Stager, dedupe_first, drop_missing_critical, fill_and_type, fit_fill_values, nan_to_null,
 )
-from stayrate.operators.outliers import Bounds, cap, cap_continuous, fit_bounds
+from stayrate.operators.outliers import Bounds, cap, fit_bounds
+from stayrate.operators.split import stratified_split
 from stayrate.session import stage
 from stayrate.sources.files import write_clean
 
@@ -25,14 +26,20 @@ class Prepared:
     bounds: Bounds
 
 
-def prepare(raw: DataFrame, staged: Stager = stage) -> Prepared:
-    """Clean and cap. The repeated customers are removed once; every later pass is a plain scan."""
+def prepare(raw: DataFrame, staged: Stager = stage, fit_on: str = "all", seed: int = 42) -> Prepared:
+    """Clean and cap. The repeated customers are removed once; every later pass is a plain scan.
+
+    Fill values and bounds come from all rows, or with ``fit_on="train"`` only from the rows that
+    the split with the same seed will train on.
+    """
+    require_known(fit_on, ("all", "train"), "fitting rows")
     require_columns(raw, schema.ALL_COLUMNS)
     require_non_empty(raw)
     unique = staged(dedupe_first(nan_to_null(raw)), "unique")
-    fills = fit_fill_values(unique)
+    source = unique if fit_on == "all" else stratified_split(drop_missing_critical(unique), seed=seed)[0]
+    fills = fit_fill_values(source)
     typed = fill_and_type(unique, fills)
-    bounds = fit_bounds(typed, list(schema.CAPPED_COLUMNS))
+    bounds = fit_bounds(typed if fit_on == "all" else fill_and_type(source, fills), list(schema.CAPPED_COLUMNS))
     return Prepared(cap(typed, bounds).drop(schema.INGEST_ORDER), fills, bounds)
 
 
@@ -51,8 +58,3 @@ def prepare_frozen(raw: DataFrame, fills: FillValues, bounds: Bounds, unique: bo
     if unique:
         rows = dedupe_first(rows)
     return cap(fill_and_type(rows, fills), bounds).drop(schema.INGEST_ORDER)
-
-
-__all__ = [
-    "Prepared", "cap_continuous", "clean_customers", "prepare", "prepare_frozen", "preprocess_customers",
-]
