@@ -12,10 +12,12 @@ from stayrate.errors import StorageError
 from stayrate.operators.checks import require_columns
 
 CORRUPT = "_corrupt_record"
+# Texts keep their blanks, and a quote inside a text is doubled.
+_CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _csv(spark: SparkSession, path: str, fields: T.StructType, corrupt: bool) -> DataFrame:
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    reader = spark.read.options(**_CSV).option("mode", "PERMISSIVE")
     if corrupt:
         fields = T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
@@ -31,7 +33,7 @@ def scan_base_csv(spark: SparkSession, path: str, corrupt: bool = False) -> Data
 
 
 def _write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def write_raw_csv(df: DataFrame, path: str) -> None:
