@@ -19,7 +19,7 @@ from stayrate.operators import (
     checks, clean, derive, encode, engagement, features, metrics, model, outliers, reports, rfm, split,
 )
 from stayrate.plans import augment, preprocess, training
-from stayrate.session import keep, once, shared_folder, stage
+from stayrate.session import keep, once, shared_folder, stage, tuned
 from stayrate.sources import artifacts, files
 from stayrate.sources.customers import base_customers, raw_customers, read
 from stayrate.streaming import scoring
@@ -33,7 +33,7 @@ ANCHOR = "2002-01-01"
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = lambda s, d: f(tuned(s), d)
         return f
 
     return register
@@ -794,13 +794,11 @@ def pr_points(s, d):
 
 
 def _report(name: str, f: Callable[[DataFrame], DataFrame], rounded: tuple[str, ...] = (), source=_scored) -> None:
+    @query(name)
     def run(s: SparkSession, d: str) -> DataFrame:
         made = f(source(s, d))
         return made.withColumns({c: _r6(c) for c in rounded}) if rounded else made
 
-    run.__name__ = name
-    QUERIES[name] = run
-
 
 def _orders(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "orders")
@@ -846,4 +844,4 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     return reports.segment_counts(rfm.apply_rfm(tidy, rfm.fit_rfm(tidy)))
 
 
-QUERIES["clean_and_segment"] = flagship
+query("clean_and_segment")(flagship)

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four ASCII separators that a text strip also removes.
-_BLANK = r"[\p{IsWhite_Space}\x1c-\x1f]+"
+# Every character that a text strip removes.
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+# A character that is no letter with a case, and a mark that no text contains.
+_UNCASED, _MARK = r"([^\p{IsUppercase}\p{IsLowercase}\p{IsTitlecase}])", "\uffff "
 
 
 def as_column(value: Column | str | float | int) -> Column:
@@ -50,16 +52,19 @@ def parsed_date(value: Column | str, formats: tuple[str, ...] = ("yyyy-MM-dd",))
 
 def stripped(value: Column | str) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(as_column(value), f"^{_BLANK}|{_BLANK}$", "")
+    return F.trim(as_column(value), F.lit(_BLANKS))
 
 
 def title_case(value: Column | str) -> Column:
     """First letter of every run of letters in upper case, the others in lower case.
 
-    ``initcap`` starts words only after blanks, so it would give ``O'neil`` for ``O'Neil``.
+    ``initcap`` starts words only after blanks and would give ``O'neil`` for ``O'Neil``, so other
+    texts than plain words get a marked blank after every character that ends a run.
     """
-    runs = F.regexp_extract_all(F.lower(as_column(value)), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    text = as_column(value)
+    marked = F.initcap(F.regexp_replace(text, _UNCASED, f"$1{_MARK}"))
+    general = F.replace(marked, F.lit(_MARK), F.lit(""))
+    return F.when(text.rlike("^[A-Za-z ]*$"), F.initcap(text)).otherwise(general)
 
 
 def round_half_even(value: Column | str | float, places: int = 2) -> Column:

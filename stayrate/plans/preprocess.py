@@ -13,7 +13,7 @@ from stayrate.operators.clean import (
 )
 from stayrate.operators.outliers import Bounds, cap, fit_bounds
 from stayrate.operators.split import stratified_split
-from stayrate.session import stage
+from stayrate.session import stage, tuned
 from stayrate.sources.files import write_clean
 
 
@@ -35,6 +35,7 @@ def prepare(raw: DataFrame, staged: Stager = stage, fit_on: str = "all", seed: i
     require_known(fit_on, ("all", "train"), "fitting rows")
     require_columns(raw, schema.ALL_COLUMNS)
     require_non_empty(raw)
+    tuned(raw.sparkSession)
     unique = staged(dedupe_first(nan_to_null(raw)), "unique")
     source = unique if fit_on == "all" else stratified_split(drop_missing_critical(unique), seed=seed)[0]
     fills = fit_fill_values(source)

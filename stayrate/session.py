@@ -16,6 +16,19 @@ _local_folders: dict[str, str] = {}
 _kept: dict[tuple, DataFrame] = {}
 
 
+# Java compiles no method above 8,000 bytes of code. Below this limit Spark splits a wide projection
+# into small methods instead of running one large one uncompiled, which is several times slower.
+_METHOD_LIMIT, _METHOD_LIMIT_DEFAULT = "8000", "65535"
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Set what the wide projections here need, unless the session has its own value."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) == _METHOD_LIMIT_DEFAULT:
+        spark.conf.set(key, _METHOD_LIMIT)
+    return spark
+
+
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for one machine: tests and the benchmark. A cluster brings its own."""
     settings = {
@@ -34,7 +47,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tuned(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -76,6 +89,15 @@ def once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> Dat
     return _kept[full]
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables this session staged; frames that read them cannot be used afterwards."""
+    app = spark.sparkContext.applicationId
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/staged/{app}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _kept if k[0] == app]:
+        del _kept[key]
+
+
 def keep(spark: SparkSession, key: tuple, build: Callable[[], object]) -> object:
     """Like :func:`once` for small driver-side objects such as fitted parameters."""
     full = (spark.sparkContext.applicationId, *key)

@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from stayrate import schema  # noqa: E402
-from stayrate.session import local_session  # noqa: E402
+from stayrate.session import drop_staged, local_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +20,7 @@ def spark(tmp_path_factory):
     warehouse = tmp_path_factory.mktemp("warehouse")
     session = local_session(8, **{"spark.sql.warehouse.dir": str(warehouse)})
     yield session
+    drop_staged(session)
     session.stop()
 
 
