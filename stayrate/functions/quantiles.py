@@ -92,14 +92,15 @@ def _by_narrowing(
     ).first()
     targets: list[_Target] = []
     for i, (column, fractions) in enumerate(wanted.items()):
-        rows = extent[f"n{i}"]
-        for p in fractions:
-            if rows:
-                targets.append(_Target(
-                    column, p, rank=int(math.floor(p * (rows - 1))), last=rows - 1,
-                    low=extent[f"lo{i}"], high=extent[f"hi{i}"],
-                    inside=rows, strictly_inside=rows,
-                ))
+        rows, low, high = (extent[f"{n}{i}"] for n in ("n", "lo", "hi"))
+        for p in fractions if rows else []:
+            rank, last = int(math.floor(p * (rows - 1))), rows - 1
+            if rank == last:  # the largest value
+                targets.append(_Target(column, p, rank, last, high, high, below=last, inside=1))
+            elif p == 0:  # the smallest
+                targets.append(_Target(column, p, rank, 0, low, low, inside=1))
+            else:
+                targets.append(_Target(column, p, rank, last, low, high, inside=rows, strictly_inside=rows))
     open_targets = [t for t in targets if t.strictly_inside > inside_limit]
     while open_targets:
         _narrow(slim, open_targets, accuracy)
@@ -120,17 +121,24 @@ def _inside(target: _Target):
 
 
 def _narrow(slim: DataFrame, targets: list[_Target], accuracy: int) -> None:
-    """One sketch pass and one counting pass over all open targets."""
+    """One sketch pass and one counting pass over all open targets; equal brackets share a sketch."""
+    brackets: dict[tuple[str, float, float], list[_Target]] = {}
+    for t in targets:
+        brackets.setdefault((t.column, t.low, t.high), []).append(t)
     sketches = []
-    for i, t in enumerate(targets):
-        middle = (t.rank + 0.5 - t.below) / t.inside
-        reach = t.slack / accuracy
-        ends = [max(0.0, middle - reach), min(1.0, middle + reach)]
-        value = F.when(_inside(t), F.col(t.column))
-        sketches.append(
-            F.percentile_approx(value, [float(e) for e in ends], accuracy).alias(f"s{i}")
-        )
-    proposed = slim.agg(*sketches).first()
+    for i, members in enumerate(brackets.values()):
+        shares = []
+        for t in members:
+            middle, reach = (t.rank + 0.5 - t.below) / t.inside, t.slack / accuracy
+            shares += [max(0.0, middle - reach), min(1.0, middle + reach)]
+        value = F.when(_inside(members[0]), F.col(members[0].column))
+        sketches.append(F.percentile_approx(value, shares, accuracy).alias(f"s{i}"))
+    ends = slim.agg(*sketches).first()
+    proposed: list[tuple[float, float]] = []
+    ordered = [t for members in brackets.values() for t in members]
+    for i, members in enumerate(brackets.values()):
+        proposed += [(ends[i][2 * k], ends[i][2 * k + 1]) for k in range(len(members))]
+    targets = ordered
     counts = []
     for i, t in enumerate(targets):
         low, high = proposed[i]
