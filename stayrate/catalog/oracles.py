@@ -6,6 +6,7 @@ import re
 
 from stayrate import schema
 from stayrate.catalog.queries import ANCHOR, RISK_LIMIT
+from stayrate.operators.derive import TIER_CITIES
 
 
 def tidy(x: str) -> str:
@@ -279,18 +280,15 @@ def _rounded(names, among) -> str:
     return ", ".join(r6(c, c) if c in among else c for c in names)
 
 
-def _augmented() -> str:
-    tiers = {1: ("Mumbai", "Delhi", "Bangalore", "Hyderabad", "Chennai"),
-             2: ("Pune", "Ahmedabad", "Jaipur", "Lucknow", "Chandigarh"),
-             3: ("Indore", "Bhopal", "Surat", "Nagpur", "Patna", "Kochi")}
+def _city_of_tier() -> str:
     arms = " ".join(
         f"WHEN coalesce(CityTier, 3) = {t} THEN (['{TEXT(c)}'])[CAST(CAST(CustomerID AS BIGINT) % {len(c)} + 1 AS INTEGER)]"
-        for t, c in tiers.items()
+        for t, c in TIER_CITIES.items()
     )
     return f"CASE {arms} END"
 
 
-CITY = _augmented()
+CITY = _city_of_tier()
 
 
 def _augment_sql() -> str:
@@ -606,7 +604,7 @@ def _bodies() -> dict[str, str]:
     q["demographic_segments"] = f"""SELECT coalesce(a, 'All') AS age_group, coalesce(gender, 'All') AS gender, coalesce(city, 'All') AS city,
         count(*) AS customers, {r6('avg(churn)', 'churn_rate')}, {r6(_money('total_spend'), 'revenue')}
         FROM (SELECT *, {ages} AS a FROM typed) GROUP BY CUBE (a, gender, city)"""
-    all_edges = f"SELECT max(last_purchase_date) AS ref FROM typed"
+    all_edges = "SELECT max(last_purchase_date) AS ref FROM typed"
     q["clean_and_segment"] = f"""WITH day AS ({all_edges}), cut AS (
             SELECT {edge_list("date_diff('day', last_purchase_date, day.ref)")} AS r, {edge_list("total_orders")} AS f, {edge_list("total_spend")} AS m FROM typed, day),
         marks AS (SELECT len(r) - {band("date_diff('day', last_purchase_date, day.ref)", "r")} AS rs, {band("total_orders", "f")} AS fs, {band("total_spend", "m")} AS ms FROM typed, day, cut)

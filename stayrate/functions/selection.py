@@ -13,8 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayrate.errors import InputError
+
 BITS = 60
 STEP = 12
+MAX_CLASSES = 100
 
 
 def key_hash(key: str, seed: int) -> Column:
@@ -31,6 +34,8 @@ def hash_cuts(
     Rows with equal hash stay on one side, so a repeated key is never split between two parts.
     """
     hashed = df.select(F.col(stratum).alias("stratum"), key_hash(key, seed).alias("h"))
+    if hashed.select("stratum").distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise InputError(f"{stratum} has more than {MAX_CLASSES} classes")
     sizes: dict[object, int] = {}
     open_cuts: dict[tuple[object, int], tuple[int, int]] = {}  # (class, share) -> (prefix, rows to take inside)
     cuts: dict[object, list[int]] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,12 +56,12 @@ def avg_monthly_spend(spend: str = "total_spend") -> Column:
 
 def risk_score() -> Column:
     """Weighted sum of complaints, abandoned carts, support calls and dissatisfaction."""
-    return (
-        F.col("complaints") * F.lit(0.4)
-        + F.col("cart_abandonment") * F.lit(0.3)
-        + F.col("support_calls") * F.lit(0.2)
-        + (F.lit(5) - F.col("customer_satisfaction")) * F.lit(0.1)
-    )
+    dissatisfaction = F.lit(schema.BEST_SATISFACTION) - F.col("customer_satisfaction")
+    parts = [
+        (dissatisfaction if name == "dissatisfaction" else F.col(name)) * F.lit(weight)
+        for name, weight in schema.RISK_WEIGHTS.items()
+    ]
+    return reduce(lambda a, b: a + b, parts)
 
 
 def ratio(part: str, whole: str) -> Column:

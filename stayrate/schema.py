@@ -94,6 +94,10 @@ ENGAGEMENT_WEIGHTS = {
     "discount_usage": 0.1,
 }
 
+# Weights of the risk score; dissatisfaction is the best satisfaction minus the given one.
+RISK_WEIGHTS = {"complaints": 0.4, "cart_abandonment": 0.3, "support_calls": 0.2, "dissatisfaction": 0.1}
+BEST_SATISFACTION = 5
+
 # Allowed category values.
 GENDERS = ("Male", "Female", "Other")
 MEMBERSHIPS = ("Basic", "Silver", "Gold", "Premium")

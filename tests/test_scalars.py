@@ -145,6 +145,12 @@ def test_split_is_exact_and_repeatable(spark):
     assert not test.exceptAll(other).isEmpty()
 
 
+def test_too_many_classes_is_an_error(spark):
+    frame = spark.range(150).selectExpr("string(id) AS customer_id", "id AS churn")
+    with pytest.raises(InputError, match="classes"):
+        split.stratified_split(frame)
+
+
 def test_folds_are_even(spark):
     frame = spark.range(1_000).selectExpr("string(id) AS customer_id", "int(id % 4 = 0) AS churn")
     sizes = split.assign_folds(frame).groupBy("fold", "churn").count().collect()
