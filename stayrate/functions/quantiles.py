@@ -1,69 +1,87 @@
 """Exact quantiles of many columns without sorting a table or gathering it in one task.
 
-A table with few rows is answered by one aggregate. A larger one is narrowed down: sketches propose
-a bracket of values around each wanted rank, a counting pass proves how many rows lie below and
-inside it, and the next sketch looks inside the bracket only. A bracket shrinks by a factor of about
-a thousand per round, so three rounds of column-pruned, shuffle-free scans settle 10^11 rows. What
-reaches the driver is a few numbers per round and, at the end, at most ``INSIDE_LIMIT`` distinct
-values per bracket.
+A table with few rows is answered by one aggregate. A larger one is narrowed down. A wanted rank lies
+in a gap between two known values, at first in the whole range. A sketch of the rows inside the gap
+proposes values close to the rank, a counting pass tells how many rows lie below and at each of them,
+and the rank is either met or falls into a smaller gap. Every proposed value leaves the gap, so each
+round makes progress, by a factor of about a thousand unless values repeat: three rounds of
+column-pruned, shuffle-free scans settle 10^11 rows. What reaches the driver is a few numbers per
+round and, at the end, at most ``GAP_LIMIT`` rows' distinct values per gap.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMALL_TABLE = 200_000
-INSIDE_LIMIT = 20_000
+GAP_LIMIT = 20_000
 ACCURACY = 10_000
+REACH = 4.0  # how many sketch errors around a rank the proposed values lie
+
+Known = dict[tuple[str, int], float]
 
 
 @dataclass
-class _Target:
-    """One wanted pair of neighbouring ranks (``rank``, ``rank + 1``; 0-based) of a column."""
+class _Gap:
+    """Rows of a column strictly between two values, and the wanted ranks (0-based) among them."""
 
     column: str
-    fraction: float
-    rank: int
-    last: int
-    low: float
-    high: float
-    below: int = 0
-    inside: int = 0
-    strictly_inside: int = 0
-    slack: float = 4.0
-
-    @property
-    def upper_rank(self) -> int:
-        return min(self.rank + 1, self.last)
-
-    def holds(self, below: int, inside: int) -> bool:
-        return below <= self.rank and self.upper_rank < below + inside
+    low: float | None
+    high: float | None
+    below: int
+    rows: int
+    ranks: list[int] = field(default_factory=list)
+
+    def holds(self) -> Column:
+        value = F.col(self.column)
+        tests = [value.isNotNull()]
+        if self.low is not None:
+            tests.append(value > F.lit(self.low))
+        if self.high is not None:
+            tests.append(value < F.lit(self.high))
+        return reduce(lambda a, b: a & b, tests)
+
+    def shares(self, accuracy: int) -> list[float]:
+        """Fractions of the gap's rows a little below and above each run of neighbouring ranks."""
+        reach = REACH / accuracy
+        found: list[float] = []
+        ranks = sorted(self.ranks)
+        for r in ranks:
+            middle = (r - self.below + 0.5) / self.rows
+            if r - 1 not in ranks:
+                found.append(max(0.0, middle - reach))
+            if r + 1 not in ranks:
+                found.append(min(1.0, middle + reach))
+        return found
 
 
 def exact_quantiles(
     df: DataFrame,
     wanted: dict[str, list[float]],
     small_table: int = SMALL_TABLE,
-    inside_limit: int = INSIDE_LIMIT,
+    gap_limit: int = GAP_LIMIT,
     accuracy: int = ACCURACY,
     rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column; ``None`` where a column has no values.
 
-    Missing values are left out. Values come back rounded to nine decimals, which hides the last
-    bits in which interpolation formulas differ. ``rows`` saves counting when the caller knows it.
+    Missing values and NaN are left out. Values come back rounded to nine decimals, which hides the
+    last bits in which interpolation formulas differ. ``rows`` saves counting when the caller knows
+    it. The table is read several times, so stage one that is costly to compute.
     """
     if not wanted:
         return {}
-    slim = df.select(*[F.col(c).cast("double").alias(c) for c in wanted])
+    doubles = {c: F.col(c).cast("double") for c in wanted}
+    slim = df.select(*[F.when(~F.isnan(v), v).alias(c) for c, v in doubles.items()])
     if (df.count() if rows is None else rows) <= small_table:
         return _by_one_aggregate(slim, wanted)
-    return _by_narrowing(slim, wanted, inside_limit, accuracy)
+    return _by_narrowing(slim, wanted, gap_limit, accuracy)
 
 
 def _tidy(value: float) -> float:
@@ -84,103 +102,93 @@ def _by_one_aggregate(slim: DataFrame, wanted: dict[str, list[float]]) -> dict[s
 
 
 def _by_narrowing(
-    slim: DataFrame, wanted: dict[str, list[float]], inside_limit: int, accuracy: int
+    slim: DataFrame, wanted: dict[str, list[float]], gap_limit: int, accuracy: int
 ) -> dict[str, list[float | None]]:
     extent = slim.agg(
         *[f(c).alias(f"{n}{i}") for i, c in enumerate(wanted) for n, f in
           (("n", F.count), ("lo", F.min), ("hi", F.max))]
     ).first()
-    targets: list[_Target] = []
+    known: Known = {}
+    gaps: list[_Gap] = []
+    last = {c: extent[f"n{i}"] - 1 for i, c in enumerate(wanted)}
     for i, (column, fractions) in enumerate(wanted.items()):
-        rows, low, high = (extent[f"{n}{i}"] for n in ("n", "lo", "hi"))
-        for p in fractions if rows else []:
-            rank, last = int(math.floor(p * (rows - 1))), rows - 1
-            if rank == last:  # the largest value
-                targets.append(_Target(column, p, rank, last, high, high, below=last, inside=1))
-            elif p == 0:  # the smallest
-                targets.append(_Target(column, p, rank, 0, low, low, inside=1))
-            else:
-                targets.append(_Target(column, p, rank, last, low, high, inside=rows, strictly_inside=rows))
-    open_targets = [t for t in targets if t.strictly_inside > inside_limit]
-    while open_targets:
-        _narrow(slim, open_targets, accuracy)
-        open_targets = [t for t in open_targets if t.strictly_inside > inside_limit]
-
-    values = _ranked_values(slim, targets)
-    found = {c: [None] * len(ps) for c, ps in wanted.items()}
-    for target, (lower, upper) in zip(targets, values, strict=True):
-        share = target.fraction * target.last - target.rank
-        places = [k for k, p in enumerate(wanted[target.column]) if p == target.fraction]
-        for k in places:
-            found[target.column][k] = _tidy(lower + (upper - lower) * share)
+        if last[column] < 0:
+            continue
+        known[column, 0], known[column, last[column]] = extent[f"lo{i}"], extent[f"hi{i}"]
+        ranks = {k for p in fractions for k in _neighbours(p, last[column])}
+        open_ranks = sorted(r for r in ranks if (column, r) not in known)
+        if open_ranks:
+            gaps.append(_Gap(column, None, None, 0, last[column] + 1, open_ranks))
+
+    wide = [g for g in gaps if g.rows > gap_limit]
+    narrow = [g for g in gaps if g.rows <= gap_limit]
+    while wide:
+        smaller = _narrow(slim, wide, accuracy, known)
+        narrow += [g for g in smaller if g.rows <= gap_limit]
+        wide = [g for g in smaller if g.rows > gap_limit]
+    _look_up(slim, narrow, known)
+
+    found: dict[str, list[float | None]] = {}
+    for column, fractions in wanted.items():
+        found[column] = [None] * len(fractions)
+        for k, p in enumerate(fractions if last[column] >= 0 else []):
+            low_rank, high_rank = _neighbours(p, last[column])
+            low, high = known[column, low_rank], known[column, high_rank]
+            found[column][k] = _tidy(low + (high - low) * (p * last[column] - low_rank))
     return found
 
 
-def _inside(target: _Target):
-    return F.col(target.column).between(F.lit(target.low), F.lit(target.high))
-
-
-def _narrow(slim: DataFrame, targets: list[_Target], accuracy: int) -> None:
-    """One sketch pass and one counting pass over all open targets; equal brackets share a sketch."""
-    brackets: dict[tuple[str, float, float], list[_Target]] = {}
-    for t in targets:
-        brackets.setdefault((t.column, t.low, t.high), []).append(t)
-    sketches = []
-    for i, members in enumerate(brackets.values()):
-        shares = []
-        for t in members:
-            middle, reach = (t.rank + 0.5 - t.below) / t.inside, t.slack / accuracy
-            shares += [max(0.0, middle - reach), min(1.0, middle + reach)]
-        value = F.when(_inside(members[0]), F.col(members[0].column))
-        sketches.append(F.percentile_approx(value, shares, accuracy).alias(f"s{i}"))
-    ends = slim.agg(*sketches).first()
-    proposed: list[tuple[float, float]] = []
-    ordered = [t for members in brackets.values() for t in members]
-    for i, members in enumerate(brackets.values()):
-        proposed += [(ends[i][2 * k], ends[i][2 * k + 1]) for k in range(len(members))]
-    targets = ordered
-    counts = []
-    for i, t in enumerate(targets):
-        low, high = proposed[i]
-        c = F.col(t.column)
-        counts += [
-            F.count_if(c < F.lit(low)).alias(f"b{i}"),
-            F.count_if(c.between(F.lit(low), F.lit(high))).alias(f"i{i}"),
-            F.count_if((c > F.lit(low)) & (c < F.lit(high))).alias(f"s{i}"),
-        ]
-    proved = slim.agg(*counts).first()
-    for i, t in enumerate(targets):
-        below, inside = proved[f"b{i}"], proved[f"i{i}"]
-        if t.holds(below, inside):
-            t.low, t.high = proposed[i]
-            t.below, t.inside, t.strictly_inside = below, inside, proved[f"s{i}"]
-            t.slack = 4.0
-        else:
-            t.slack *= 8
-
-
-def _ranked_values(slim: DataFrame, targets: list[_Target]) -> list[tuple[float, float]]:
-    """The values at both ranks of every target, from counts of the distinct values in its bracket."""
-    if not targets:
-        return []
-    tagged = F.array(*[
-        F.when(_inside(t), F.struct(F.lit(i).alias("target"), F.col(t.column).alias("value")))
-        for i, t in enumerate(targets)
-    ])
-    counted = (
-        slim.select(F.explode(F.array_compact(tagged)).alias("hit"))
-        .groupBy("hit.target", "hit.value")
-        .count()
-        .collect()
-    )
-    pairs: list[list[tuple[float, int]]] = [[] for _ in targets]
-    for target, value, rows in counted:
-        pairs[target].append((value, rows))
-    answers = []
-    for t, found in zip(targets, pairs, strict=True):
+def _neighbours(fraction: float, last: int) -> tuple[int, int]:
+    rank = min(int(math.floor(fraction * last)), last)
+    return rank, min(rank + 1, last)
+
+
+def _narrow(slim: DataFrame, gaps: list[_Gap], accuracy: int, known: Known) -> list[_Gap]:
+    """One sketch pass and one counting pass over all gaps; returns the smaller gaps."""
+    sketches = slim.agg(*[
+        F.percentile_approx(F.when(g.holds(), F.col(g.column)), g.shares(accuracy), accuracy).alias(f"s{i}")
+        for i, g in enumerate(gaps)
+    ]).first()
+    proposed = [sorted(set(values)) for values in sketches]
+    counts = slim.agg(*[
+        F.count_if(test).alias(f"{name}{i}_{k}")
+        for i, g in enumerate(gaps)
+        for k, v in enumerate(proposed[i])
+        for name, test in (("lt", F.col(g.column) < F.lit(v)), ("eq", F.col(g.column) == F.lit(v)))
+    ]).first()
+    smaller: list[_Gap] = []
+    for i, g in enumerate(gaps):
+        ends = [(v, counts[f"lt{i}_{k}"], counts[f"eq{i}_{k}"]) for k, v in enumerate(proposed[i])]
+        lows = [(g.low, g.below), *[(v, lt + eq) for v, lt, eq in ends]]
+        highs = [*[(v, lt) for v, lt, _ in ends], (g.high, g.below + g.rows)]
+        for (low, below), (high, upto) in zip(lows, highs, strict=True):
+            ranks = [r for r in g.ranks if below <= r < upto]
+            if ranks:
+                smaller.append(_Gap(g.column, low, high, below, upto - below, ranks))
+        for v, lt, eq in ends:
+            known.update({(g.column, r): v for r in g.ranks if lt <= r < lt + eq})
+    return smaller
+
+
+def _look_up(slim: DataFrame, gaps: list[_Gap], known: Known) -> None:
+    """The values at the ranks in small gaps, from counts of the distinct values there.
+
+    Rows outside all gaps are filtered out first.
+    """
+    if not gaps:
+        return
+    tests = [g.holds() for g in gaps]
+    hits = F.array_compact(F.array(*[
+        F.when(test, F.struct(F.lit(i).alias("gap"), F.col(g.column).alias("value")))
+        for i, (g, test) in enumerate(zip(gaps, tests, strict=True))
+    ]))
+    rows = slim.where(reduce(lambda a, b: a | b, tests))
+    counted = rows.select(F.explode(hits).alias("hit")).groupBy("hit.gap", "hit.value").count()
+    pairs: list[list[tuple[float, int]]] = [[] for _ in gaps]
+    for i, value, n in counted.collect():
+        pairs[i].append((value, n))
+    for g, found in zip(gaps, pairs, strict=True):
         found.sort()
-        ends = t.below + np.cumsum([n for _, n in found])
-        answers.append(tuple(
-            found[int(np.searchsorted(ends, rank, side="right"))][0] for rank in (t.rank, t.upper_rank)
-        ))
-    return answers
+        ends = g.below + np.cumsum([n for _, n in found])
+        for r, place in zip(g.ranks, np.searchsorted(ends, g.ranks, side="right"), strict=True):
+            known[g.column, r] = found[place][0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
@@ -97,7 +98,7 @@ def impute_mode(df: DataFrame, modes: dict[str, str]) -> DataFrame:
 
 def drop_missing_critical(df: DataFrame, columns: Sequence[str] = schema.CRITICAL_COLUMNS) -> DataFrame:
     """Drop rows without id, registration date or label, before any date is parsed."""
-    return df.dropna(subset=list(columns))
+    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
 
 
 def cast_int(df: DataFrame, columns: Sequence[str] = schema.INT_COLUMNS) -> DataFrame:

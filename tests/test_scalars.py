@@ -71,7 +71,7 @@ def test_numbers_from_text(spark):
     assert values(spark, [float("nan"), 2.5], "double", scalars.float_number("x")) == [0.0, 2.5]
 
 
-@pytest.mark.parametrize("shape", ["even", "two heavy values", "one heavy value", "tails", "gaps", "few"])
+@pytest.mark.parametrize("shape", ["even", "two heavy values", "one heavy value", "tails", "gaps", "few", "heavy ends"])
 def test_narrowing_finds_the_exact_quantiles(spark, shape):
     rng = np.random.default_rng(7)
     n = 30_000
@@ -81,6 +81,7 @@ def test_narrowing_finds_the_exact_quantiles(spark, shape):
         "one heavy value": np.where(rng.uniform(size=n) < 0.34, 5.0, rng.uniform(0, 10, n)),
         "tails": rng.pareto(0.5, n),
         "gaps": rng.integers(0, 50, n).astype(float),
+        "heavy ends": np.concatenate([np.zeros(15_000), rng.uniform(0, 1, 60), np.ones(15_000)]),
         "few": np.array([1.0, 1, 1, 1, 2, 3]),
     }[shape]
     wanted = [0.0, 0.01, 0.2, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -88,7 +89,7 @@ def test_narrowing_finds_the_exact_quantiles(spark, shape):
     if shape == "gaps":
         rows += [(None,)] * 100
     frame = spark.createDataFrame(rows, "x double").repartition(4)
-    narrowed = exact_quantiles(frame, {"x": wanted}, small_table=0, inside_limit=50, accuracy=200)["x"]
+    narrowed = exact_quantiles(frame, {"x": wanted}, small_table=0, gap_limit=50, accuracy=200)["x"]
     at_once = exact_quantiles(frame, {"x": wanted})["x"]
     expected = np.quantile(data, wanted)
     np.testing.assert_allclose(narrowed, expected, rtol=1e-12, atol=1e-9)
@@ -98,15 +99,15 @@ def test_narrowing_finds_the_exact_quantiles(spark, shape):
 def test_quantiles_of_several_columns_and_none(spark):
     frame = spark.createDataFrame([(1.0, None, 3), (2.0, None, 5)], "a double, b double, c int")
     for limit in (0, 1_000):
-        found = exact_quantiles(frame, {"a": [0.5], "b": [0.5], "c": [0.0, 1.0]}, small_table=limit, inside_limit=0)
+        found = exact_quantiles(frame, {"a": [0.5], "b": [0.5], "c": [0.0, 1.0]}, small_table=limit, gap_limit=0)
         assert found == {"a": [1.5], "b": [None], "c": [3.0, 5.0]}
 
 
-@settings(max_examples=5, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(-20, 20), min_size=1, max_size=60), st.floats(0, 1))
 def test_quantiles_property(spark, numbers, share):
     frame = spark.createDataFrame([(float(v),) for v in numbers], "x double")
-    found = exact_quantiles(frame, {"x": [share]}, small_table=0, inside_limit=2, accuracy=100)["x"][0]
+    found = exact_quantiles(frame, {"x": [share]}, small_table=0, gap_limit=2, accuracy=100)["x"][0]
     assert found == pytest.approx(float(np.quantile(numbers, share)), abs=1e-8)
 
 
