@@ -17,6 +17,7 @@ from pyspark.ml.classification import FMClassifier
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayrate.session import stage
 
@@ -93,23 +94,23 @@ def fit(sample: DataFrame, columns: tuple[str, ...], features: Features, keep: i
     return Machine(ids, model.linear.toArray(), model.factors.toArray(), float(model.intercept))
 
 
-def score(documents: DataFrame, columns: tuple[str, ...], features: Features, machine: Machine, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keys`` of every row, and ``score`` between 0 and 1.
+def score(documents: DataFrame, columns: tuple[str, ...], features: Features, machine: Machine, keys: tuple[str, ...] = ("doc_id",),
+          name: str = "score") -> DataFrame:
+    """Columns ``keys`` of every row, and the score between 0 and 1 as column ``name``.
 
     One pass without a shuffle; the machine (at most ``keep`` ids) is sent to the tasks.
     """
     sent = documents.sparkSession.sparkContext.broadcast(machine)
-    carried = documents.select(*keys, *[c for c in columns if c not in keys])
-    out = [f for f in carried.schema if f.name in keys]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", score double"
+    carried = documents.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_{c}") for c in columns])
+    schema = T.StructType([*carried.schema.fields[: len(keys)], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
-                found = list(features({c: part.column(c).to_pylist() for c in columns}))
+                found = list(features({c: part.column(f"_{c}").to_pylist() for c in columns}))
                 rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 ids = np.concatenate(found) if found else np.empty(0, np.int64)
                 values = sent.value.scores(ids, rows, part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(values)], [*keys, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array(values)], schema.names)
 
-    return carried.mapInArrow(run, schema)
+    return carried.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("score").alias(name))

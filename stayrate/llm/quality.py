@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.llm import factorization
-from stayrate.llm.common import labelled_sample, remainder, whole_text
+from stayrate.llm.common import labelled_sample, remainder
 
 #: Upper ends of the intervals that shares of a text fall into.
 STEPS = np.array([0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.99])
@@ -53,23 +53,21 @@ def features(rows: dict[str, list]) -> Iterator[np.ndarray]:
         yield np.unique(found & (factorization.BUCKETS - 1))
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, per_class: int = 4000, divisor: int | None = 5,
-                   threshold: float = 0.3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys`` of every document, ``score`` (0 to 1, higher: good) and ``predicted`` (score >= ``threshold``).
+def quality_scores(documents: DataFrame, labels: DataFrame, per_class: int = 4000, divisor: int | None = 5) -> DataFrame:
+    """doc_id and score (0 to 1, higher: good) of every document.
 
-    Inputs are the words, statistics of the whole text and the stored ``n_chars`` (where the table has it). Fitting
-    and the cases of missing labels, empty texts and empty tables are as in :mod:`stayrate.llm.toxicity`.
+    Inputs are the words, statistics of the whole text and the stored ``n_chars`` (where the table has it, and it is a
+    number). The machine is fitted on at most ``per_class`` labelled documents of each class, without ids whose crc32
+    leaves remainder 0 by ``divisor``. A missing text counts as empty; without labels of both classes all documents
+    get the same score; an empty table gives no rows; repeated rows stay; other columns are ignored.
     """
-    if "n_chars" not in documents.columns:
-        documents = documents.withColumn("n_chars", F.lit(None))
-    texts = documents.withColumn("text", whole_text()).withColumn("n_chars", F.expr("try_cast(n_chars as bigint)"))
-    columns = ("text", "n_chars")
+    stated = F.expr("try_cast(n_chars as bigint)") if "n_chars" in documents.columns else F.lit(None).cast("bigint")
+    texts, columns = documents.select("doc_id", "text", stated.alias("n_chars")), ("text", "n_chars")
     machine = factorization.fit(labelled_sample(texts, labels, "quality", per_class, divisor, columns), columns, features)
-    scored = factorization.score(texts, columns, features, machine, keys)
-    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    return factorization.score(texts, columns, features, machine)
 
 
-def quality_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
-    scored = quality_scores(documents.select("doc_id", "text", "n_chars"), labels)
-    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+def quality_report(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted (1 from ``threshold`` on) for every document."""
+    scored = quality_scores(documents, labels)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.llm import factorization
-from stayrate.llm.common import labelled_sample, remainder, whole_text
+from stayrate.llm.common import labelled_sample, remainder
 
 AROUND = ".,;:!?()[]{}\"'«»“”„…*#"
 PREFIX = 4
@@ -29,23 +29,28 @@ def terms(rows: dict[str, list]) -> Iterator[np.ndarray]:
         yield np.unique(found & (factorization.BUCKETS - 1))
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, per_class: int = 4000, divisor: int | None = 5,
-                    keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys`` of every document, ``score`` (0 to 1, higher: toxic) and ``predicted`` (score >= 0.5).
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 4000, divisor: int | None = 5) -> factorization.Machine:
+    """A machine from at most ``per_class`` labelled documents of each class, without ids whose crc32 leaves remainder 0."""
+    return factorization.fit(labelled_sample(documents, labels, "toxic", per_class, divisor), ("text",), terms)
 
-    The machine is fitted on at most ``per_class`` labelled documents of each class, without ids whose crc32 leaves
-    remainder 0 by ``divisor``. Whole texts are scored. A missing text counts as empty; empty texts get the score of
-    no terms; without labels of both classes all documents get the same score; an empty table gives no rows;
-    repeated rows stay; other columns are ignored.
+
+def toxicity_scores(documents: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("doc_id",), name: str = "score", **fitting) -> DataFrame:
+    """``keys`` of every document and its score (0 to 1, higher: toxic) as column ``name``.
+
+    Whole texts are scored. A missing text counts as empty; empty texts get the score of no terms; without labels of
+    both classes all documents get the same score; an empty table gives no rows; repeated rows stay; other columns
+    are carried if named in ``keys``, else ignored.
     """
-    sample = labelled_sample(documents, labels, "toxic", per_class, divisor)
-    machine = factorization.fit(sample, ("text",), terms)
-    texts = documents.withColumn("text", whole_text())
-    scored = factorization.score(texts, ("text",), terms, machine, keys)
-    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    return factorization.score(documents, ("text",), terms, fit(documents, labels, **fitting), keys, name)
+
+
+def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents with a score below ``threshold``, all columns."""
+    scored = toxicity_scores(documents, labels, tuple(documents.columns), "_score")
+    return scored.filter(F.col("_score") < threshold).drop("_score")
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
-    scored = toxicity_scores(documents.select("doc_id", "text"), labels)
-    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    """doc_id, held_out, score, predicted (1 from 0.5 on) for every document."""
+    scored = toxicity_scores(documents, labels)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
