@@ -238,15 +238,13 @@ def interpolated_scores(documents: DataFrame, order: int = 2, divisor: int = 7,
     spare = [f"c{n}" for n in range(1, order + 1)] + [f"x{n}" for n in range(2, order + 1)]
 
     def held_counts(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("n", "class", *spare)}
+        made = []
         for row, counts in _counted(left, right, order, buckets, "first"):
-            grams_, contexts = _tokens(row, counts, order)
-            both, n = np.unique(np.concatenate([grams_, contexts]), axis=1, return_counts=True) if order > 1 else np.unique(grams_, axis=1, return_counts=True)
-            out["n"].append(n)
-            out["class"].append(_class(both[-1]) if order > 1 else np.zeros(len(n), np.int64))
-            for c, values in zip(spare, both, strict=True):
-                out[c].append(values)
-        return pa.table({c: np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for c, v in out.items()})
+            c, x = _tokens(row, counts, order)
+            seen = pa.table(dict(zip(spare, [*c, *x], strict=True))).group_by(spare).aggregate([([], "count_all")])
+            last = seen.column(spare[-1]).to_numpy() if order > 1 else np.zeros(len(seen), np.int64)
+            made.append(pa.table([seen.column("count_all"), pa.array(_class(last)), *(seen.column(s) for s in spare)], ["n", "class", *spare]))
+        return pa.concat_tables(made) if made else pa.table({c: pa.array([], pa.int64()) for c in ("n", "class", *spare)})
 
     own = rows.filter(F.col("role") == HELD)
     asked = answers.filter(F.col("role") == HELD).select("block", "gram", "bucket", "first")
