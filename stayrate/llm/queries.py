@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stayrate.llm import mixing, packing, quality, secrets, simhash, toxicity
+from stayrate.llm import interpolation, licenses, lines, mixing, neighbours, packing, quality, secrets, simhash, toxicity
 from stayrate.llm.common import table
 
 
@@ -18,14 +18,18 @@ def _docs(f: Callable[..., DataFrame], *more: str) -> Callable[[SparkSession, st
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": _docs(toxicity.toxicity_report, "labels"),
     "op2_secrets": _docs(secrets.secret_report),
+    "op3_lines": _docs(lines.line_report, "labels"),
+    "op4_interpolation": _docs(interpolation.score_report),
     "op5_packing": _docs(packing.packed_report),
     "op6_simhash": _docs(simhash.simhash_report),
     "op7_mixing": _docs(mixing.mix_report),
+    "op8_neighbours": lambda spark, sf_dir: neighbours.neighbour_report(table(spark, sf_dir, "embeddings")),
     "op9_quality": _docs(quality.quality_report, "labels"),
+    "op10_licenses": _docs(licenses.license_report),
     "pipeline": corpus_pipeline.run,
 }
 
 #: DuckDB SQL where it can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_licenses": licenses.license_sql()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
