@@ -3,7 +3,10 @@
 Texts are cut into sentences, their words into five-word shingles hashed to 64 bits. Windows of ``WINDOW`` shingles,
 each half over the next, have one minimum per band, each band under another order of the hashes. A window that shares
 the part J of its shingles with a template's window agrees in some of the 8 bands with probability 1 - (1 - J)^8:
-certainly for a copy, 0.99999 at J = 0.8, 0.996 at J = 0.5. Templates that are retrieved count only if the text holds
+certainly for a copy, 0.99999 at J = 0.8, 0.996 at J = 0.5. In a longer sentence a short template would be a small part
+of any such window; template sentences of fewer than ``SHORT`` shingles therefore have windows of one shingle, whose
+minimum is that shingle under every order, so one more band holds them. A run of ``SHORT`` or more lies whole in some
+window (a window is twice its step), so J is 0.5 at least. Templates that are retrieved count only if the text holds
 at least 0.8 of their shingles.
 """
 
@@ -18,7 +21,7 @@ from stayrate.llm.common import whole_text
 from stayrate.session import stage
 
 WORDS, WINDOW, STEP, LEAST = 5, 8, 4, 0.8
-BANDS = 8
+BANDS, SHORT = 8, 4
 
 # License notices by name
 TEMPLATES = {
@@ -77,13 +80,17 @@ def _masks() -> list[int]:
 
 
 def _lowest(shingles: Column, step: int, use: Callable[[int, Column], Column]) -> Column:
-    """Array over the bands of ``use`` of the minima of all windows, each window ``step`` shingles after the last."""
+    """Array over the bands of ``use`` of the minima of all windows, each window ``step`` shingles after the last.
+
+    With step 1, for templates, the last band has only short sentences.
+    """
     n = F.size(shingles)
     starts = F.sequence(F.lit(0), F.greatest(F.ceil((n - WINDOW) / step), F.lit(0)).cast("int"))
     windows = F.transform(starts, lambda i: F.slice(shingles, F.greatest(F.least(i * step, n - WINDOW), F.lit(0)) + 1, F.lit(WINDOW)))
     def band(k: int, m: int, all_windows: Column) -> Column:
         return use(k, F.transform(all_windows, lambda w: F.array_min(F.transform(w, lambda h: h.bitwiseXOR(F.lit(m).cast("bigint"))))))
-    return _let(windows, lambda x: F.array(*[band(k, m, x) for k, m in enumerate(_masks())]))
+    single = use(BANDS, shingles if step > 1 else F.when(n < SHORT, shingles).otherwise(F.array().cast("array<bigint>")))
+    return _let(windows, lambda x: F.array(*[band(k, m, x) for k, m in enumerate(_masks())], single))
 
 
 def template_index(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +115,7 @@ def matches(documents: DataFrame, templates: dict[str, str] | None = None) -> Da
     known = low.collect()
     if len(known) > 1_000_000:
         raise ValueError("the templates are too many to send to every task")
-    values = [sorted({r["low"] for r in known if r["band"] == b}) for b in range(BANDS)]
+    values = [sorted({r["low"] for r in known if r["band"] == b}) for b in range(BANDS + 1)]
     texts = documents.select("doc_id", whole_text().alias("text"))
     rows = texts.select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.split("text", SENTENCE)).alias("sentence"))
     def hits(s: Column) -> Column:
