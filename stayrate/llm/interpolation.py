@@ -40,6 +40,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Bytes of an array, those of equal weight together and compressed; most high bytes are zero."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes, dtype: type) -> np.ndarray:
+    n, width = int.from_bytes(b[:8], "little"), np.dtype(dtype).itemsize
+    if not n:
+        return np.empty(0, dtype)
+    raw = pa.decompress(b[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(dtype).ravel()
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences, which need fewer bytes; :func:`numpy.cumsum` gives them back."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 def grams(hashes: np.ndarray, lengths: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per length 1 to ``order``: keys of the n-grams at each place, and which places have one.
 
@@ -81,7 +100,7 @@ def blocks(documents: DataFrame, role, held_out, size: int = BLOCK) -> DataFrame
             made += 1
             return pa.RecordBatch.from_arrays([
                 pa.array([f"{task}-{made}"]), pa.array([role], pa.int32()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())),
-                pa.array([lengths], pa.list_(pa.int64())), pa.array([hashes.tobytes()], pa.binary()), pa.array([words.tobytes()], pa.binary())], names)
+                pa.array([lengths], pa.list_(pa.int64())), pa.array([packed(hashes)], pa.binary()), pa.array([packed(words)], pa.binary())], names)
 
         for b in batches:
             id_type = b.column("doc_id").type
@@ -102,8 +121,8 @@ def blocks(documents: DataFrame, role, held_out, size: int = BLOCK) -> DataFrame
 
 
 def _grams_of(row: dict, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-    return grams(vocabulary[np.frombuffer(row["words"], np.int32)], np.array(row["lengths"], np.int64), order)
+    vocabulary = unpacked(row["vocabulary"], np.uint64)
+    return grams(vocabulary[unpacked(row["words"], np.int32)], np.array(row["lengths"], np.int64), order)
 
 
 def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,19 +145,22 @@ def _messages(order: int, buckets: int):
                     yield pa.RecordBatch.from_arrays([
                         pa.array([k for k, _, _ in spans], pa.int32()), pa.array([row["block"]] * len(spans)),
                         pa.array([n] * len(spans), pa.int32()), pa.array([row["role"]] * len(spans), pa.int32()),
-                        pa.array([distinct[lo:hi].tobytes() for _, lo, hi in spans], pa.binary()),
-                        pa.array([counts[lo:hi].astype(np.int32).tobytes() for _, lo, hi in spans], pa.binary())], names)
+                        pa.array([packed(steps(distinct[lo:hi])) for _, lo, hi in spans], pa.binary()),
+                        pa.array([packed(counts[lo:hi].astype(np.int32)) for _, lo, hi in spans], pa.binary())], names)
     return run, "bucket int, block string, gram int, role int, keys binary, counts binary"
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """Corpus counts of a bucket's n-grams, aligned with the keys of each message; a row without block has the sums."""
+    """Corpus counts of a bucket's n-grams, aligned with the keys of each message; a row without block has the sums.
+
+    ``first``, the counts of the estimating documents alone, goes to held-out blocks only; no other needs it.
+    """
     rows, out, sums = table.to_pylist(), [], []
     bucket = rows[0]["bucket"]
     for gram in sorted({r["gram"] for r in rows}):
         own = [r for r in rows if r["gram"] == gram]
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in own]
-        counts = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in own]).astype(np.float64)
+        keys = [np.cumsum(unpacked(r["keys"], np.uint64), dtype=np.uint64) for r in own]
+        counts = np.concatenate([unpacked(r["counts"], np.int32) for r in own]).astype(np.float64)
         role = np.repeat([r["role"] for r in own], [len(k) for k in keys])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         first = np.bincount(at, counts * (role == ESTIMATE), len(distinct)).astype(np.int64)
@@ -149,7 +171,7 @@ def _added(table: pa.Table) -> pa.Table:
         lo = 0
         for r, k in zip(own, keys, strict=True):
             part, lo = at[lo : lo + len(k)], lo + len(k)
-            out.append((r["block"], r["role"], gram, bucket, first[part].tobytes(), every[part].tobytes(), 0, 0, 0))
+            out.append((r["block"], r["role"], gram, bucket, packed(first[part]) if r["role"] == HELD else b"", packed(every[part]), 0, 0, 0))
     for every, first, types in sums:
         out.append((None, OTHER, 0, bucket, b"", b"", every, first, types))
     return pa.Table.from_pylist([dict(zip(ANSWER, r, strict=True)) for r in out], schema=pa.schema([
@@ -170,7 +192,7 @@ def _counted(left: pa.Table, right: pa.Table, order: int, buckets: int, column:
             by, _ = _dealt(distinct, buckets)
             said = sorted((a for a in answers if a["gram"] == n), key=lambda a: a["bucket"])
             values = np.empty(len(distinct), np.int64)
-            values[by] = np.concatenate([np.frombuffer(a[column], np.int64) for a in said])
+            values[by] = np.concatenate([unpacked(a[column], np.int64) for a in said])
             full = np.zeros(len(keys), np.int64)
             full[has] = values[at]
             counts.append(full)
@@ -228,7 +250,7 @@ def interpolated_scores(documents: DataFrame, order: int = 2, divisor: int = 7,
     rest = remainder("doc_id", divisor)
     role = F.when(rest == left_out, OTHER).when(rest == held, HELD).otherwise(ESTIMATE)
     rows = stage(blocks(documents, role, rest == left_out), "blocks")
-    size = rows.agg(F.sum(F.length("words") / 4)).first()[0] or 0
+    size = rows.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(8, int(size * order) // BUCKET)
     run, schema = _messages(order, buckets)
     answers = stage(rows.mapInArrow(run, schema).groupBy("bucket").applyInArrow(
