@@ -118,7 +118,7 @@ def _stages() -> dict[str, str]:
         SELECT *, CAST(floor((loyalty_raw - lo)/(hi - lo + 1e-5)*99 + 1) AS BIGINT) AS loyalty
         FROM loyal, (SELECT min(loyalty_raw) AS lo, max(loyalty_raw) AS hi FROM loyal)"""
     st["raw"] = f"""
-        SELECT 'C' || lpad(CAST(k AS VARCHAR), 8, '0') AS customer_id,
+        SELECT 'C' || lpad(CAST(k AS VARCHAR), CAST(greatest(8, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS customer_id,
             CASE WHEN k % 11 <> 3 THEN CAST(18 + (k*7919) % 53 AS DOUBLE) END AS age,
             CASE WHEN k % 13 <> 5 THEN CASE k % 3 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' ELSE 'Other' END END AS gender,
             CASE WHEN k % 19 <> 7 THEN CASE WHEN k % 4 = 0 THEN '  ' || lower(n_name) ELSE n_name END END AS city,

@@ -128,7 +128,7 @@ def _raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = F.when(k % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     spend = F.col("spend") + F.col("copy")
     columns = {
-        "customer_id": F.concat(F.lit("C"), F.lpad(k.cast("string"), 8, "0")),
+        "customer_id": F.format_string("C%08d", k.cast("long")),
         "age": _gap(k % 11 == 3, (F.lit(18) + (k * 7919) % 53).cast("double")),
         "gender": _gap(k % 13 == 5, recode(k % 3, {0: "Male", 1: "Female", 2: "Other"})),
         "city": _gap(k % 19 == 7, city),
