@@ -9,8 +9,14 @@ from stayrate.catalog.queries import ANCHOR, RISK_LIMIT
 from stayrate.operators.derive import TIER_CITIES
 
 
-def tidy(x: str) -> str:
-    return f"(CASE WHEN abs({x}) < 9e6 THEN floor(({x})*1e9+5e-1)/1e9 ELSE {x} END)"
+def quantile(x: str, p: str) -> str:
+    """Linear interpolation between the values at two ranks of the sorted column."""
+    x = f"CAST({x} AS DOUBLE)"
+    place = f"(CAST({p} AS DOUBLE)*(count({x}) - 1))"
+    rank = f"CAST(floor({place}) AS BIGINT)"
+    ordered = f"list_sort(list({x}) FILTER ({x} IS NOT NULL))"
+    low, high = f"{ordered}[{rank} + 1]", f"{ordered}[least({rank} + 2, count({x}))]"
+    return f"({low} + ({high} - {low})*({place} - {rank}))"
 
 
 def r6(x: str, name: str | None = None) -> str:
@@ -66,7 +72,7 @@ def band(x: str, edges: str) -> str:
 
 
 def edge_list(x: str) -> str:
-    items = ", ".join(tidy(f"quantile_cont(CAST({x} AS DOUBLE), {p})") for p in ("0", "0.2", "0.4", "0.6", "0.8", "1"))
+    items = ", ".join(quantile(x, p) for p in ("0", "0.2", "0.4", "0.6", "0.8", "1"))
     return f"list_sort(list_distinct([{items}]))"
 
 
@@ -145,7 +151,7 @@ def _stages() -> dict[str, str]:
         FROM (SELECT *, unnest(CASE WHEN k % 50 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM loyal2)"""
     st["dedup"] = """
         SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY ingest_seq) = 1"""
-    medians = ", ".join(f"{tidy(f'median(CAST({c} AS DOUBLE))')} AS {c}" for c in schema.MEDIAN_FILL_COLUMNS)
+    medians = ", ".join(f"{quantile(c, '0.5')} AS {c}" for c in schema.MEDIAN_FILL_COLUMNS)
     modes = ", ".join(
         f"(SELECT {c} FROM dedup WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS {c}"
         for c in schema.MODE_FILL_COLUMNS
@@ -181,7 +187,7 @@ def _stages() -> dict[str, str]:
 
     st["typed"] = f"SELECT {', '.join(typed(c) for c in schema.ALL_COLUMNS)}, ingest_seq FROM filled"
     quartiles = ", ".join(
-        f"{tidy(f'quantile_cont(CAST({c} AS DOUBLE), {p})')} AS {c}_{n}"
+        f"{quantile(c, p)} AS {c}_{n}"
         for c in CAPPED for n, p in (("q1", "0.25"), ("q3", "0.75"))
     )
     st["quartiles"] = f"SELECT {quartiles} FROM typed"
@@ -355,7 +361,7 @@ def _scaler_sql(method: str, names=SCALED, source: str = "test", kept: str = "cu
             return f"avg({x})", f"stddev_pop({x})"
         if method == "minmax":
             return f"min({x})", f"max({x}) - min({x})"
-        q = [tidy(f"quantile_cont({x}, {p})") for p in ("0.25", "0.5", "0.75")]
+        q = [quantile(x, p) for p in ("0.25", "0.5", "0.75")]
         return q[1], f"{q[2]} - {q[0]}"
 
     fit = ", ".join(f"{a} AS {c}_a, {b} AS {c}_b" for c in names for a, b in [pair(c)])
@@ -490,7 +496,7 @@ def _bodies() -> dict[str, str]:
     q["outlier_keep"] = f"SELECT customer_id, {cols(CAPPED)} FROM typed"
     step, source = "", "typed"
     for i, c in enumerate(("total_spend", "session_duration", "refund_amount")):
-        a, b = (tidy(f"quantile_cont({c}, {p})") for p in ("0.25", "0.75"))
+        a, b = (quantile(c, p) for p in ("0.25", "0.75"))
         step += f"left{i} AS (SELECT s.* FROM {source} s, (SELECT {a} AS a, {b} AS b FROM {source}) WHERE {c} >= a - 15e-1*(b-a) AND {c} <= b + 15e-1*(b-a)), "
         source = f"left{i}"
     q["outlier_remove"] = f"SELECT customer_id, total_spend, session_duration, refund_amount FROM (WITH {step[:-2]} SELECT * FROM {source})"
@@ -500,7 +506,7 @@ def _bodies() -> dict[str, str]:
     q["cap_continuous_features"] = "SELECT customer_id, " + ", ".join(r6(c, c) for c in CAPPED) + " FROM prepared"
     q["preprocess_customers"] = f"SELECT {prepared_rounded} FROM prepared"
     percentiles = ", ".join(
-        f"{tidy(f'quantile_cont(CAST({c} AS DOUBLE), {p})')} AS {c}_{n}" for c in CAPPED for n, p in (("a", "0.01"), ("b", "0.99")))
+        f"{quantile(c, p)} AS {c}_{n}" for c in CAPPED for n, p in (("a", "0.01"), ("b", "0.99")))
     q["winsorize_percentile"] = "SELECT customer_id, " + ", ".join(
         r6(clipped(f"CAST({c} AS DOUBLE)", f"{c}_a", f"{c}_b"), c) for c in CAPPED) + f" FROM typed, (SELECT {percentiles} FROM typed)"
     q["stratified_split"] = "SELECT customer_id, churn, is_test FROM split"
@@ -538,7 +544,7 @@ def _bodies() -> dict[str, str]:
         q[name] = f"SELECT customer_id, {r6(f'{a}/nullif({b}, 0)', name)} FROM typed"
     q["browsing_score"] = f"""SELECT customer_id, {r6("((browsing_time - b0)/(b1 - b0) + (pages_viewed - p0)/(p1 - p0))/2", "browsing_score")}
         FROM typed, (SELECT min(browsing_time) AS b0, max(browsing_time) AS b1, min(pages_viewed) AS p0, max(pages_viewed) AS p1 FROM typed)"""
-    q["vip_flag"] = f"""SELECT customer_id, CAST(customer_lifetime_value >= (SELECT {tidy("quantile_cont(customer_lifetime_value, 0.9)")} FROM typed) AS BIGINT) AS vip_flag FROM typed"""
+    q["vip_flag"] = f"""SELECT customer_id, CAST(customer_lifetime_value >= (SELECT {quantile("customer_lifetime_value", "0.9")} FROM typed) AS BIGINT) AS vip_flag FROM typed"""
     q["premium_flag"] = "SELECT customer_id, CAST(membership_type = 'Premium' AS BIGINT) AS premium_flag FROM typed"
     q["activity_level"] = f"""SELECT customer_id, (['{TEXT(schema.ACTIVITY_LEVELS)}'])[{band("engagement_score", "e")}] AS activity_level
         FROM scored, (SELECT {edge_list("engagement_score")} AS e FROM scored)"""
@@ -582,10 +588,12 @@ def _bodies() -> dict[str, str]:
     q["kpi_revenue_net"] = f"""SELECT {r6('a', 'revenue')}, {r6('b', 'refunds')}, {r6('b/a', 'refund_rate')}, {r6('a - b', 'net_revenue')}
         FROM (SELECT {_money('total_spend')} AS a, {_money('refund_amount')} AS b FROM typed)"""
     q["kpi_clv_session"] = f"""SELECT {r6(f"{_money('customer_lifetime_value')}/count(*)", "avg_lifetime_value")},
-        {r6(f"{_money('session_duration')}/count(*)", "avg_session_duration")} FROM typed"""
+        {r6("avg(session_duration)", "avg_session_duration")} FROM typed"""
     q["kpi_growth_rate"] = f"""SELECT month, {r6('revenue', 'revenue')}, {r6("(revenue - b)/b", "growth_rate")} FROM (
-        SELECT month, revenue, lag(revenue) OVER (ORDER BY month) AS b FROM (
-        SELECT strftime(o_orderdate, '%Y-%m') AS month, {_money('o_totalprice')} AS revenue FROM orders GROUP BY 1))"""
+        WITH sums AS (SELECT date_trunc('month', o_orderdate) AS m, {_money('o_totalprice')} AS revenue
+            FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1)
+        SELECT strftime(a.m, '%Y-%m') AS month, a.revenue, b.revenue AS b
+        FROM sums a LEFT JOIN sums b ON b.m + INTERVAL 1 MONTH = a.m)"""
     q["kpi_conversion_rate"] = f"""SELECT a AS purchases, b AS views, {r6('a/b', 'conversion_rate')} FROM (
         SELECT count(*) FILTER (event_type = 'purchase') AS a, count(*) FILTER (event_type = 'view') AS b FROM events)"""
     periods = " UNION ALL ".join([

@@ -6,6 +6,7 @@ table, are staged once per session and shared; every operator runs over whole ta
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,6 +108,12 @@ def _params_frame(s: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
     return s.createDataFrame(rows, fields)
 
 
+def _folder(s: SparkSession, kind: str, d: str) -> str:
+    """Where a query leaves what it writes from the tables in ``d``; deleted with the staged tables."""
+    name = hashlib.md5(d.encode()).hexdigest()
+    return f"{shared_folder(s)}/staged/{s.sparkContext.applicationId}/{kind}-{name}"
+
+
 # --- sources ---------------------------------------------------------------------------------------
 
 
@@ -117,14 +124,14 @@ def scan_table(s, d):
 
 @query("export_scored")
 def export_scored(s, d):
-    path = f"{shared_folder(s)}/export/{s.sparkContext.applicationId}"
+    path = _folder(s, "export", d)
     files.export_scored(training.scored_table(_prepared(s, d).table, _bundle(s, d)), path)
     return files.scan_scored(s, path)
 
 
 @query("batch_score")
 def batch_score(s, d):
-    path = f"{shared_folder(s)}/bundle/{s.sparkContext.applicationId}"
+    path = _folder(s, "bundle", d)
     artifacts.save_bundle(s, _bundle(s, d), path)
     return scoring.score(raw_customers(s, d), artifacts.load_bundle(s, path), probability=True)
 
@@ -163,7 +170,7 @@ def domain_violations(s, d):
 
 @query("label_rate_check")
 def label_rate_check(s, d):
-    return checks.label_rate_check(_typed(s, d))
+    return checks.label_rate_check(_typed(s, d)).withColumn("churn_rate", _r6("churn_rate"))
 
 
 # --- casts and scalars -------------------------------------------------------------------------------

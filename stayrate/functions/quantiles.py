@@ -1,12 +1,12 @@
 """Exact quantiles of many columns without sorting a table or gathering it in one task.
 
-A table with few rows is answered by one aggregate. A larger one is narrowed down. A wanted rank lies
+A wanted rank lies
 in a gap between two known values, at first in the whole range. A sketch of the rows inside the gap
 proposes values close to the rank, a counting pass tells how many rows lie below and at each of them,
 and the rank is either met or falls into a smaller gap. Every proposed value leaves the gap, so each
 round makes progress, by a factor of about a thousand unless values repeat: three rounds of
 column-pruned, shuffle-free scans settle 10^11 rows. What reaches the driver is a few numbers per
-round and, at the end, at most ``GAP_LIMIT`` rows' distinct values per gap.
+round and, at the end, the distinct values of at most ``GAP_LIMIT`` rows, shared by all gaps.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_TABLE = 200_000
-GAP_LIMIT = 20_000
+GAP_LIMIT = 200_000
 ACCURACY = 10_000
 REACH = 4.0  # how many sketch errors around a rank the proposed values lie
 
@@ -64,43 +63,22 @@ class _Gap:
 def exact_quantiles(
     df: DataFrame,
     wanted: dict[str, list[float]],
-    small_table: int = SMALL_TABLE,
     gap_limit: int = GAP_LIMIT,
     accuracy: int = ACCURACY,
-    rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of each column; ``None`` where a column has no values.
 
-    Missing values and NaN are left out. Values come back rounded to nine decimals, which hides the
-    last bits in which interpolation formulas differ. ``rows`` saves counting when the caller knows
-    it. The table is read several times, so stage one that is costly to compute.
+    Missing values and NaN are left out. Between the values at two ranks the quantile is
+    ``low + (high - low) * share``, unrounded. The table is read several times, so stage one that is
+    costly to compute.
     """
     if not wanted:
         return {}
     doubles = {c: F.col(c).cast("double") for c in wanted}
     slim = df.select(*[F.when(~F.isnan(v), v).alias(c) for c, v in doubles.items()])
-    if (df.count() if rows is None else rows) <= small_table:
-        return _by_one_aggregate(slim, wanted)
     return _by_narrowing(slim, wanted, gap_limit, accuracy)
 
 
-def _tidy(value: float) -> float:
-    return math.floor(value * 1e9 + 0.5) / 1e9 if abs(value) < 9e6 else value
-
-
-def _by_one_aggregate(slim: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
-    row = slim.agg(
-        *[
-            F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(f"q{i}")
-            for i, (c, ps) in enumerate(wanted.items())
-        ]
-    ).first()
-    found: dict[str, list[float | None]] = {}
-    for i, (column, fractions) in enumerate(wanted.items()):
-        found[column] = [None] * len(fractions) if row[i] is None else [_tidy(v) for v in row[i]]
-    return found
-
-
 def _by_narrowing(
     slim: DataFrame, wanted: dict[str, list[float]], gap_limit: int, accuracy: int
 ) -> dict[str, list[float | None]]:
@@ -120,12 +98,13 @@ def _by_narrowing(
         if open_ranks:
             gaps.append(_Gap(column, None, None, 0, last[column] + 1, open_ranks))
 
-    wide = [g for g in gaps if g.rows > gap_limit]
-    narrow = [g for g in gaps if g.rows <= gap_limit]
+    limit = gap_limit // max(1, sum(len(g.ranks) for g in gaps))  # every gap holds a rank, so the total is bounded
+    wide = [g for g in gaps if g.rows > limit]
+    narrow = [g for g in gaps if g.rows <= limit]
     while wide:
         smaller = _narrow(slim, wide, accuracy, known)
-        narrow += [g for g in smaller if g.rows <= gap_limit]
-        wide = [g for g in smaller if g.rows > gap_limit]
+        narrow += [g for g in smaller if g.rows <= limit]
+        wide = [g for g in smaller if g.rows > limit]
     _look_up(slim, narrow, known)
 
     found: dict[str, list[float | None]] = {}
@@ -134,7 +113,8 @@ def _by_narrowing(
         for k, p in enumerate(fractions if last[column] >= 0 else []):
             low_rank, high_rank = _neighbours(p, last[column])
             low, high = known[column, low_rank], known[column, high_rank]
-            found[column][k] = _tidy(low + (high - low) * (p * last[column] - low_rank))
+            share = p * last[column] - low_rank
+            found[column][k] = low if low == high else low + (high - low) * share
     return found
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from stayrate import schema
 from stayrate.errors import InputError, NotFittedError, OptionError
-from stayrate.functions.scalars import recode, round_half_up
+from stayrate.functions.scalars import recode
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -107,4 +107,4 @@ def label_rate_check(df: DataFrame, label: str = "churn") -> DataFrame:
     """Share of churned customers and whether it lies in the expected range."""
     low, high = schema.CHURN_RATE_RANGE
     rate = F.avg(F.col(label).cast("double"))
-    return df.agg(round_half_up(rate, 6).alias("churn_rate"), rate.between(low, high).alias("in_range"))
+    return df.agg(rate.alias("churn_rate"), rate.between(low, high).alias("in_range"))

@@ -17,6 +17,7 @@ from stayrate.functions.modes import most_frequent
 from stayrate.functions.quantiles import exact_quantiles
 from stayrate.functions.scalars import float_number, number, parsed_date, stripped, title_case, whole_number
 from stayrate.operators.checks import require_columns, require_non_empty
+from stayrate.session import stage
 
 Stager = Callable[[DataFrame, str], DataFrame]
 
@@ -146,14 +147,22 @@ def fix_acronyms(df: DataFrame, repair_all: bool = False, column: str = "payment
     return df.replace(repairs, subset=[column])
 
 
-def fill_and_type(df: DataFrame, fills: FillValues, repair_all: bool = False) -> DataFrame:
-    """All row-wise cleaning steps with known fill values: one projection, no shuffle."""
+def fill_and_type(
+    df: DataFrame, fills: FillValues, repair_all: bool = False, critical: Sequence[str] = schema.CRITICAL_COLUMNS
+) -> DataFrame:
+    """All row-wise cleaning steps with known fill values: one projection, no shuffle.
+
+    Rows without a ``critical`` column are dropped. Where the label is not among them, a label that is not known yet
+    stays missing.
+    """
+    label = F.when(F.col("churn").isNotNull(), whole_number("churn"))
     return (
         impute_zero(df)
         .transform(impute_median, fills.medians)
         .transform(impute_mode, fills.modes)
-        .transform(drop_missing_critical)
-        .transform(cast_int)
+        .transform(drop_missing_critical, critical)
+        .transform(cast_int, [c for c in schema.INT_COLUMNS if c != "churn"])
+        .withColumn("churn", label)
         .transform(cast_float)
         .transform(parse_dates)
         .transform(normalise_strings)
@@ -161,12 +170,12 @@ def fill_and_type(df: DataFrame, fills: FillValues, repair_all: bool = False) ->
     )
 
 
-def clean_customers(df: DataFrame, staged: Stager | None = None, fills: FillValues | None = None) -> DataFrame:
+def clean_customers(df: DataFrame, staged: Stager | None = stage, fills: FillValues | None = None) -> DataFrame:
     """De-duplicate, impute, drop, type and normalise, in that order.
 
     ``staged`` writes the de-duplicated rows once, so the passes for medians and modes and the
-    final projection scan a table instead of repeating the shuffle. Give ``fills`` to use values
-    learned elsewhere.
+    final projection scan a table instead of repeating the shuffle; ``None`` repeats it. Give
+    ``fills`` to use values learned elsewhere.
     """
     try:
         require_columns(df, schema.ALL_COLUMNS)

@@ -23,7 +23,7 @@ def money_sum(column: Column | str) -> Column:
 
 
 def exact_avg(column: str) -> Column:
-    """Mean from an exact sum; missing values are left out."""
+    """Mean of an amount of money from an exact sum; missing values are left out."""
     return F.try_divide(money_sum(column), F.count(column).cast("double"))
 
 
@@ -145,18 +145,23 @@ def kpi_clv_session(df: DataFrame) -> DataFrame:
     """Mean lifetime value and mean session duration."""
     return df.agg(
         exact_avg("customer_lifetime_value").alias("avg_lifetime_value"),
-        exact_avg("session_duration").alias("avg_session_duration"),
+        F.avg("session_duration").alias("avg_session_duration"),
     )
 
 
 def kpi_growth_rate(orders: DataFrame, date: str = "o_orderdate", amount: str = "o_totalprice") -> DataFrame:
-    """Monthly revenue and its change against the month before.
+    """Monthly revenue and its change against the calendar month before, missing where that month has no orders.
 
-    Only months that are already added up meet in one window: twelve rows per year of history.
+    Orders without a date belong to no month and are left out. Only months that are already added up meet in one
+    window: twelve rows per year of history.
     """
-    months = orders.groupBy(F.date_format(date, "yyyy-MM").alias("month")).agg(money_sum(amount).alias("revenue"))
-    before = F.lag("revenue").over(Window.orderBy("month"))
-    return months.withColumn("growth_rate", F.try_divide(F.col("revenue") - before, before))
+    dated = orders.where(F.col(date).isNotNull()).groupBy(F.trunc(date, "MM").alias("first"))
+    months = dated.agg(money_sum(amount).alias("revenue"))
+    order = Window.orderBy("first")
+    follows = F.add_months(F.lag("first").over(order), 1) == F.col("first")
+    before = F.when(follows, F.lag("revenue").over(order))
+    growth = F.try_divide(F.col("revenue") - before, before)
+    return months.select(F.date_format("first", "yyyy-MM").alias("month"), "revenue", growth.alias("growth_rate"))
 
 
 def kpi_conversion_rate(events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stayrate import schema
 from stayrate.operators.checks import require_columns, require_known, require_non_empty
@@ -54,8 +55,12 @@ def preprocess_customers(raw: DataFrame, save_to: str | None = None, kind: str =
 
 def prepare_frozen(raw: DataFrame, fills: FillValues, bounds: Bounds, unique: bool = True) -> DataFrame:
     """Clean and cap new rows with values learned before; without ``unique`` it needs no shuffle and
-    also runs on a stream."""
-    rows = nan_to_null(raw)
+    also runs on a stream.
+
+    Every customer with an id is kept: the label may be missing or its column absent, and so may dates.
+    """
+    rows = raw if "churn" in raw.columns else raw.withColumn("churn", F.lit(None).cast("bigint"))
+    rows = nan_to_null(rows)
     if unique:
         rows = dedupe_first(rows)
-    return cap(fill_and_type(rows, fills), bounds).drop(schema.INGEST_ORDER)
+    return cap(fill_and_type(rows, fills, critical=("customer_id",)), bounds).drop(schema.INGEST_ORDER)

@@ -17,18 +17,30 @@ _CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace":
 
 
 def _csv(spark: SparkSession, path: str, fields: T.StructType, corrupt: bool) -> DataFrame:
-    reader = spark.read.options(**_CSV).option("mode", "PERMISSIVE")
-    if corrupt:
-        fields = T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+    """Columns are found by name in the header, whatever their order and whatever else is there.
+
+    All files under ``path`` must have the header of the first; Spark checks that when it reads them.
+    """
+    reader = spark.read.options(**_CSV).option("mode", "PERMISSIVE").option("enforceSchema", False)
+    kinds = {f.name: f.dataType for f in fields}
+    names = list(kinds)
     try:
-        return reader.schema(fields).csv(path)
+        header = reader.csv(path).columns
+        absent = [n for n in names if n not in header]
+        if absent:
+            raise StorageError(f"{path} has no column {', '.join(absent)}")
+        order = [T.StructField(n, kinds.get(n, T.StringType())) for n in header]
+        if corrupt:
+            order.append(T.StructField(CORRUPT, T.StringType()))
+            names.append(CORRUPT)
+            reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        return reader.schema(T.StructType(order)).csv(path).select(*names)
     except AnalysisException as e:
         raise StorageError(f"cannot read {path}: {e}") from e
 
 
-def scan_base_csv(spark: SparkSession, path: str, corrupt: bool = False) -> DataFrame:
-    """The 13-column base file; ``corrupt`` adds the text of lines that do not fit the schema."""
+def scan_base_csv(spark: SparkSession, path: str, corrupt: bool = True) -> DataFrame:
+    """The 13 base columns of a file and, unless ``corrupt`` is off, the text of lines with unreadable cells."""
     return _csv(spark, path, schema.BASE_SCHEMA, corrupt)
 
 

@@ -13,12 +13,11 @@ from stayrate.errors import NotFittedError
 from stayrate.operators.model import Bundle
 from stayrate.plans.preprocess import prepare_frozen
 from stayrate.plans.training import scored_table
-from stayrate.session import shared_folder
 
 
 def score(raw: DataFrame, bundle: Bundle, probability: bool = False) -> DataFrame:
-    """Clean and score new raw rows. A batch keeps the first row of each customer; in a stream every
-    arriving row is scored."""
+    """Clean and score new raw rows, labelled or not. A batch keeps the first row of each customer; in a stream
+    every arriving row is scored. Only rows without an id are left out."""
     if bundle.fills is None or bundle.bounds is None:
         raise NotFittedError("the bundle has no fill values or bounds to clean new rows with")
     clean = prepare_frozen(raw, bundle.fills, bundle.bounds, unique=not raw.isStreaming)
@@ -38,12 +37,11 @@ def start_scoring(
     arrivals: DataFrame,
     bundle: Bundle,
     sink: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     name: str = "scoring",
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Append scored rows as parquet files, each exactly once."""
-    folder = checkpoint or f"{shared_folder(arrivals.sparkSession)}/streams/{name}"
+    """Append scored rows as parquet files, each exactly once for as long as the ``checkpoint`` folder is kept."""
     writer = score(arrivals, bundle, probability=True).writeStream.format("parquet").outputMode("append")
-    writer = writer.option("checkpointLocation", folder).option("path", sink).queryName(name)
+    writer = writer.option("checkpointLocation", checkpoint).option("path", sink).queryName(name)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -76,9 +76,12 @@ def test_saved_bundle_scores_the_same(spark, trained):
     loaded = artifacts.load_bundle(spark, f"{folder}/bundle")
     assert loaded.matrix == made.bundle.matrix
     assert loaded.fills == made.bundle.fills and loaded.bounds == made.bundle.bounds
-    scored = scoring.score(raw_customers(spark, SF), loaded)
+    raw = raw_customers(spark, SF)
+    scored = scoring.score(raw, loaded)
     direct = training.scored_table(made.table, made.bundle)
-    assert scored.exceptAll(direct).isEmpty() and scored.count() == direct.count()
+    assert direct.exceptAll(scored).isEmpty()
+    customers = raw.where("customer_id IS NOT NULL").select("customer_id").distinct().count()
+    assert scored.count() == customers > direct.count()  # rows without a registration date are not trained on
     with pytest.raises(StorageError):
         artifacts.load_bundle(spark, f"{folder}/absent")
     with pytest.raises(NotFittedError):
@@ -103,6 +106,34 @@ def test_stream_scores_like_a_batch(spark, trained, tmp_path):
     assert arrived.exceptAll(batch).isEmpty() and arrived.count() == batch.count()
 
 
+def test_customers_without_a_label_are_scored(spark, trained):
+    made, _ = trained
+    raw = raw_customers(spark, SF)
+    known = scoring.score(raw, made.bundle, probability=True).drop("churn")
+    for unlabelled in (raw.withColumn("churn", F.lit(None).cast("bigint")), raw.drop("churn")):
+        scored = scoring.score(unlabelled, made.bundle, probability=True)
+        assert scored.where("churn IS NOT NULL OR predicted_churn IS NULL").isEmpty()
+        assert scored.drop("churn").exceptAll(known).isEmpty() and scored.count() == known.count()
+
+
+def test_model_does_not_depend_on_how_rows_are_spread(trained):
+    made, _ = trained
+    params, matrix = model.fit_matrix(made.train)
+    found = []
+    for parts in (2, 7):
+        fitted = model.train_model(matrix.repartition(parts), params.names(), **SMALL)
+        marked = model.predict(made.test, model.Bundle(params, fitted), True).orderBy("customer_id")
+        found.append([r[0] for r in marked.select("churn_probability").collect()])
+    assert found[0] == found[1]
+
+
+def test_growth_compares_with_the_calendar_month_before(spark):
+    rows = [("1995-01-05", 100.0), ("1995-03-01", 200.0), ("1995-04-30", 300.0), (None, 50.0)]
+    orders = spark.createDataFrame(rows, "d string, o_totalprice double").withColumn("o_orderdate", F.col("d").cast("date"))
+    found = [tuple(r) for r in reports.kpi_growth_rate(orders).orderBy("month").collect()]
+    assert found == [("1995-01", 100.0, None), ("1995-03", 200.0, None), ("1995-04", 300.0, 0.5)]
+
+
 def test_dashboard_and_its_filters(spark, trained):
     made, _ = trained
     scored = training.scored_table(made.table, made.bundle)
@@ -188,4 +219,12 @@ def test_tables_and_files(spark, six, tmp_path):
     )
     rows = files.scan_base_csv(spark, str(tmp_path / "base.csv"), corrupt=True).collect()
     assert rows[0][files.CORRUPT] is None and rows[1][files.CORRUPT].startswith("2,x")
+    (tmp_path / "other.csv").write_text(
+        "Note," + ",".join(reversed(schema.BASE_SCHEMA.names)) + "\nhello,150.0,1,3,12,2.5,UPI,1,2,0,3,Male,0,1\n"
+    )
+    other = files.scan_base_csv(spark, str(tmp_path / "other.csv"), corrupt=False)
+    assert [tuple(r) for r in other.collect()] == [tuple(rows[0])[:-1]]
+    (tmp_path / "lacking.csv").write_text("CustomerID,Churn\n1,0\n")
+    with pytest.raises(StorageError, match="Gender"):
+        files.scan_base_csv(spark, str(tmp_path / "lacking.csv"))
     assert files.options_of(six, "gender") == ["Female", "Male"]

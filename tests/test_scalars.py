@@ -89,7 +89,7 @@ def test_narrowing_finds_the_exact_quantiles(spark, shape):
     if shape == "gaps":
         rows += [(None,)] * 100
     frame = spark.createDataFrame(rows, "x double").repartition(4)
-    narrowed = exact_quantiles(frame, {"x": wanted}, small_table=0, gap_limit=50, accuracy=200)["x"]
+    narrowed = exact_quantiles(frame, {"x": wanted}, gap_limit=50, accuracy=200)["x"]
     at_once = exact_quantiles(frame, {"x": wanted})["x"]
     expected = np.quantile(data, wanted)
     np.testing.assert_allclose(narrowed, expected, rtol=1e-12, atol=1e-9)
@@ -99,7 +99,7 @@ def test_narrowing_finds_the_exact_quantiles(spark, shape):
 def test_quantiles_of_several_columns_and_none(spark):
     frame = spark.createDataFrame([(1.0, None, 3), (2.0, None, 5)], "a double, b double, c int")
     for limit in (0, 1_000):
-        found = exact_quantiles(frame, {"a": [0.5], "b": [0.5], "c": [0.0, 1.0]}, small_table=limit, gap_limit=0)
+        found = exact_quantiles(frame, {"a": [0.5], "b": [0.5], "c": [0.0, 1.0]}, gap_limit=limit)
         assert found == {"a": [1.5], "b": [None], "c": [3.0, 5.0]}
 
 
@@ -107,10 +107,16 @@ def test_quantiles_of_several_columns_and_none(spark):
 @given(st.lists(st.integers(-20, 20), min_size=1, max_size=60), st.floats(0, 1))
 def test_quantiles_property(spark, numbers, share):
     frame = spark.createDataFrame([(float(v),) for v in numbers], "x double")
-    found = exact_quantiles(frame, {"x": [share]}, small_table=0, gap_limit=2, accuracy=100)["x"][0]
+    found = exact_quantiles(frame, {"x": [share]}, gap_limit=2, accuracy=100)["x"][0]
     assert found == pytest.approx(float(np.quantile(numbers, share)), abs=1e-8)
 
 
+def test_quantiles_keep_small_values(spark):
+    frame = spark.createDataFrame([(i * 1e-12,) for i in range(1, 101)], "x double")
+    found = exact_quantiles(frame, {"x": [0.25, 0.5, 0.75]})["x"]
+    np.testing.assert_allclose(found, np.quantile([i * 1e-12 for i in range(1, 101)], [0.25, 0.5, 0.75]), rtol=1e-12)
+
+
 def test_modes_and_categories(spark):
     frame = spark.createDataFrame([("b", 1), ("a", 1), ("a", 2), ("b", None)], "s string, n int")
     assert most_frequent(frame, ["s", "n"]) == {"s": "a", "n": "1"}
