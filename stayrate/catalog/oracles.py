@@ -580,7 +580,7 @@ def _bodies() -> dict[str, str]:
     q["monthly_revenue"] = f"SELECT coalesce(strftime(last_purchase_date, '%Y-%m'), 'NaT') AS month, {r6(_money('total_spend'), 'revenue')} FROM typed GROUP BY 1"
     q["churn_by_membership"] = f"SELECT membership_type, {status}, count(*) AS customers FROM scored GROUP BY membership_type, churn"
     q["engagement_by_prediction"] = f"""SELECT CASE predicted_churn WHEN 0 THEN 'Predicted Retained' ELSE 'Predicted Churned' END AS prediction,
-        {r6(f"{_money('engagement_score')}/count(engagement_score)", "avg_engagement")} FROM scored GROUP BY predicted_churn"""
+        {r6("avg(engagement_score)", "avg_engagement")} FROM scored GROUP BY predicted_churn"""
     q["top_high_risk"] = f"SELECT {_rounded(schema.RISK_DISPLAY, ['total_spend'])} FROM (SELECT * FROM scored WHERE predicted_churn = 1 ORDER BY total_spend DESC, customer_id LIMIT 100)"
     q["kpi_active_inactive"] = """SELECT count(*) FILTER (churn = 0) AS active_customers, count(*) FILTER (churn = 1) AS inactive_customers,
         count(*) FILTER (total_orders >= 2) AS repeat_customers FROM scored"""

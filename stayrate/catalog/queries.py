@@ -748,8 +748,7 @@ def feature_importance(s, d):
 def model_comparison(s, d):
     params, matrix = _matrix(s, d)
     test = model.to_matrix(_parts(s, d)[1], params)
-    small = {"Random_Forest": {"numTrees": 20, "maxDepth": 5}, "Gradient_Boosting": {"maxIter": 5, "maxDepth": 3}}
-    return model.compare_models(matrix, test, params.names(), Decision_Tree={"maxDepth": 5}, **small)
+    return model.compare_models(matrix, test, params.names())
 
 
 @query("cross_validate")

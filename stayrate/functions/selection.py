@@ -27,15 +27,14 @@ def key_hash(key: str, seed: int) -> Column:
 
 
 def hash_cuts(
-    df: DataFrame, stratum: str, key: str, seed: int, shares: Sequence[float]
+    df: DataFrame, stratum: str, key: str, seed: int, shares: Sequence[float], max_classes: int = MAX_CLASSES
 ) -> dict[object, list[int]]:
     """Per class, the hash below which ``round(share * rows)`` of its rows lie, for each share.
 
-    Rows with equal hash stay on one side, so a repeated key is never split between two parts.
+    Rows with equal hash stay on one side, so a repeated key is never split between two parts. More than
+    ``max_classes`` classes are an error, found by the first count itself.
     """
     hashed = df.select(F.col(stratum).alias("stratum"), key_hash(key, seed).alias("h"))
-    if hashed.select("stratum").distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-        raise InputError(f"{stratum} has more than {MAX_CLASSES} classes")
     sizes: dict[object, int] = {}
     open_cuts: dict[tuple[object, int], tuple[int, int]] = {}  # (class, share) -> (prefix, rows to take inside)
     cuts: dict[object, list[int]] = {}
@@ -53,8 +52,14 @@ def hash_cuts(
                 test = test | (F.col("stratum").eqNullSafe(F.lit(value)) & (parent == F.lit(p)))
             scope = hashed.where(test)
         counted: dict[object, dict[int, int]] = {}
-        for row in scope.groupBy("stratum", prefix.alias("p")).count().collect():
+        counts = scope.groupBy("stratum", prefix.alias("p")).count()
+        if not known:
+            # a class has at most 2 ** step prefixes, so one row beyond that for all classes shows one class too many
+            counts = counts.limit((max_classes << step) + 1)
+        for row in counts.collect():
             counted.setdefault(row["stratum"], {})[row["p"]] = row["count"]
+        if len(counted) > max_classes:
+            raise InputError(f"{stratum} has more than {max_classes} classes")
         if not known:
             sizes = {c: sum(v.values()) for c, v in counted.items()}
             for c, n in sizes.items():

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from stayrate.operators.checks import columns_by_type, require_columns, require_known
 from stayrate.operators.clean import FillValues
 from stayrate.operators.encode import (
-    OneHotParams, ScaleParams, apply_onehot, apply_scaler, fit_onehot, fit_scaler,
+    MAX_CATEGORIES, OneHotParams, ScaleParams, apply_onehot, apply_scaler, fit_onehot, fit_scaler,
 )
 from stayrate.operators.features import FeatureParams, apply_features, fit_features
 from stayrate.operators.metrics import classification_report
@@ -61,16 +61,19 @@ class Bundle:
     bounds: Bounds | None = None
 
 
-def fit_matrix(train: DataFrame, reference_features: bool = False) -> tuple[MatrixParams, DataFrame]:
+def fit_matrix(
+    train: DataFrame, reference_features: bool = False, max_categories: int = MAX_CATEGORIES
+) -> tuple[MatrixParams, DataFrame]:
     """Fit features, encoder and scaler on the training part; also returns its numeric form.
 
-    ``reference_features`` keeps the columns that give the label away.
+    ``reference_features`` keeps the columns that give the label away; a text column with more than
+    ``max_categories`` values is an error.
     """
     features = fit_features(train)
     dropped = [] if reference_features else list(LEAKING)
     wide = apply_features(train, features).drop(*dropped)
     text, numeric = columns_by_type(wide, NOT_FEATURES)
-    params = MatrixParams(features, fit_onehot(wide, text), fit_scaler(wide, numeric), dropped)
+    params = MatrixParams(features, fit_onehot(wide, text, max_categories), fit_scaler(wide, numeric), dropped)
     return params, to_matrix(train, params)
 
 
@@ -169,10 +172,11 @@ def train_bundle(
     reference_features: bool = False,
     fills: FillValues | None = None,
     bounds: Bounds | None = None,
+    max_categories: int = MAX_CATEGORIES,
     **options: object,
 ) -> Bundle:
     """Fit the whole chain on the training part of a cleaned table."""
-    params, matrix = fit_matrix(train, reference_features)
+    params, matrix = fit_matrix(train, reference_features, max_categories)
     model = train_model(matrix, params.names(), **options)
     return Bundle(params, model, fills, bounds)
 

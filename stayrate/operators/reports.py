@@ -97,7 +97,7 @@ def churn_by_membership(df: DataFrame) -> DataFrame:
 def engagement_by_prediction(df: DataFrame) -> DataFrame:
     """Mean engagement per predicted class."""
     means = df.where(F.col("predicted_churn").isNotNull()).groupBy("predicted_churn")
-    return means.agg(exact_avg("engagement_score").alias("avg_engagement")).select(
+    return means.agg(F.avg("engagement_score").alias("avg_engagement")).select(
         label_prediction("predicted_churn").alias("prediction"), "avg_engagement"
     )
 

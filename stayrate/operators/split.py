@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.functions.selection import hash_cuts, key_hash, part_number
+from stayrate.functions.selection import MAX_CLASSES, hash_cuts, key_hash, part_number
 from stayrate.operators.checks import require_columns
 
 
@@ -18,10 +18,14 @@ def assign_parts(
     key: str = "customer_id",
     seed: int = 42,
     column: str = "part",
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
-    """Number the parts cut at the cumulative ``shares`` of every class, exact to one row per class."""
+    """Number the parts cut at the cumulative ``shares`` of every class, exact to one row per class.
+
+    More than ``max_classes`` labels are an error.
+    """
     require_columns(df, [label, key])
-    cuts = hash_cuts(df, label, key, seed, shares)
+    cuts = hash_cuts(df, label, key, seed, shares, max_classes)
     hashed = df.withColumn("_hash", key_hash(key, seed))
     return hashed.withColumn(column, part_number(label, F.col("_hash"), cuts)).drop("_hash")
 

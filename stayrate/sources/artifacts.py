@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import asdict
 
 from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from stayrate.errors import StorageError
 from stayrate.operators.checks import require_fitted
@@ -40,6 +43,9 @@ _KINDS = {
     "Bounds": lambda d: {c: tuple(b) for c, b in d.items()},
 }
 
+#: The list of finished versions of a bundle.
+_VERSIONS = "saved bigint, version string"
+
 
 def save_fitted(spark: SparkSession, params: object, path: str) -> None:
     """Write parameters as a one-row table, replacing what is there."""
@@ -62,16 +68,31 @@ def load_fitted(spark: SparkSession, path: str) -> object:
 
 
 def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
-    """Write the model and all parameters under one folder, replacing what is there."""
+    """Write the model and all parameters as a new version under ``path``.
+
+    The version is listed only when all its parts are written, so a save that fails leaves the one before it in
+    force. Earlier versions stay.
+    """
     require_fitted(bundle, "the model bundle")
-    bundle.model.write().overwrite().save(f"{path}/model")
-    save_fitted(spark, bundle.matrix, f"{path}/matrix")
-    save_fitted(spark, bundle.fills or FillValues(), f"{path}/fills")
-    save_fitted(spark, bundle.bounds or {}, f"{path}/bounds")
+    version = uuid.uuid4().hex
+    folder = f"{path}/{version}"
+    bundle.model.write().save(f"{folder}/model")
+    save_fitted(spark, bundle.matrix, f"{folder}/matrix")
+    save_fitted(spark, bundle.fills or FillValues(), f"{folder}/fills")
+    save_fitted(spark, bundle.bounds or {}, f"{folder}/bounds")
+    row = spark.createDataFrame([(time.time_ns(), version)], _VERSIONS)
+    row.coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
-    """Read a folder written by :func:`save_bundle`."""
-    matrix, fills, bounds = (load_fitted(spark, f"{path}/{n}") for n in ("matrix", "fills", "bounds"))
-    model = PipelineModel.load(f"{path}/model")
+    """Read the newest version that :func:`save_bundle` finished."""
+    try:
+        newest = spark.read.schema(_VERSIONS).parquet(f"{path}/versions").orderBy(F.desc("saved")).first()
+    except PySparkException as e:
+        raise StorageError(f"no saved bundle at {path}: {e}") from e
+    if newest is None:
+        raise StorageError(f"no saved bundle at {path}")
+    folder = f"{path}/{newest['version']}"
+    matrix, fills, bounds = (load_fitted(spark, f"{folder}/{n}") for n in ("matrix", "fills", "bounds"))
+    model = PipelineModel.load(f"{folder}/model")
     return Bundle(matrix, model, fills if fills != FillValues() else None, bounds or None)

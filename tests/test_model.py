@@ -90,6 +90,31 @@ def test_saved_bundle_scores_the_same(spark, trained):
         scoring.score(raw_customers(spark, SF), model.Bundle(made.bundle.matrix, made.bundle.model))
 
 
+def test_a_save_that_fails_leaves_the_version_before(spark, trained, tmp_path, monkeypatch):
+    made, _ = trained
+    path = str(tmp_path / "bundle")
+    artifacts.save_bundle(spark, made.bundle, path)
+    other = model.Bundle(made.bundle.matrix, made.bundle.model)
+    with monkeypatch.context() as broken:
+        broken.setattr(artifacts, "_VERSIONS", "not a schema")
+        with pytest.raises(Exception):
+            artifacts.save_bundle(spark, other, path)
+    assert artifacts.load_bundle(spark, path).fills == made.bundle.fills is not None
+    artifacts.save_bundle(spark, other, path)
+    assert artifacts.load_bundle(spark, path).fills is None
+
+
+def test_limit_of_categories_reaches_the_encoder(trained):
+    made, _ = trained
+    with pytest.raises(InputError, match="city"):
+        model.fit_matrix(made.train, max_categories=6)
+
+
+def test_mean_engagement_keeps_small_values(spark):
+    frame = spark.createDataFrame([(1, 1e-8), (1, 3e-8)], "predicted_churn long, engagement_score double")
+    assert reports.engagement_by_prediction(frame).first()["avg_engagement"] == pytest.approx(2e-8)
+
+
 def test_stream_scores_like_a_batch(spark, trained, tmp_path):
     made, _ = trained
     from stayrate.operators.clean import dedupe_first

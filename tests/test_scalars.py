@@ -156,6 +156,8 @@ def test_too_many_classes_is_an_error(spark):
     frame = spark.range(150).selectExpr("string(id) AS customer_id", "id AS churn")
     with pytest.raises(InputError, match="classes"):
         split.stratified_split(frame)
+    parts = split.assign_parts(frame, [0.2], max_classes=150)
+    assert parts.where("part IS NULL").isEmpty() and parts.count() == 150
 
 
 def test_folds_are_even(spark):
