@@ -1,13 +1,12 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
 Texts are cut into sentences, their words into five-word shingles hashed to 64 bits. Windows of ``WINDOW`` shingles,
-each half over the next, have one minimum per band, each band under another order of the hashes. A window that shares
+each half over the next, have one minimum per band, each band under another hash of the shingles. A window that shares
 the part J of its shingles with a template's window agrees in some of the 8 bands with probability 1 - (1 - J)^8:
-certainly for a copy, 0.99999 at J = 0.8, 0.996 at J = 0.5. In a longer sentence a short template would be a small part
-of any such window; template sentences of fewer than ``SHORT`` shingles therefore have windows of one shingle, whose
-minimum is that shingle under every order, so one more band holds them. A run of ``SHORT`` or more lies whole in some
-window (a window is twice its step), so J is 0.5 at least. Templates that are retrieved count only if the text holds
-at least 0.8 of their shingles.
+certainly for a copy, 0.99999 at J = 0.8, 0.996 at J = 0.5. In a longer sentence a short template would be a part of
+any such window; template sentences of up to ``WINDOW`` shingles therefore have windows of one shingle as well, so one
+more band finds them wherever they stand. A run of 11 shingles of a longer one holds a whole window of the text, a run
+of 8 three quarters of one. Templates that are retrieved count only if the text holds at least 0.8 of their shingles.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from stayrate.llm.common import whole_text
 from stayrate.session import stage
 
 WORDS, WINDOW, STEP, LEAST = 5, 8, 4, 0.8
-BANDS, SHORT = 8, 4
+BANDS = 8
 
 # License notices by name
 TEMPLATES = {
@@ -74,23 +73,19 @@ def _shingles(sentence: Column, use: Callable[[Column], Column]) -> Column:
         F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*[w[i + k] for k in range(WORDS)])), use)))
 
 
-def _masks() -> list[int]:
-    """One number per band: exclusive-or with it gives another order of the hashes."""
-    return [(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 63) for k in range(BANDS)]
-
-
 def _lowest(shingles: Column, step: int, use: Callable[[int, Column], Column]) -> Column:
     """Array over the bands of ``use`` of the minima of all windows, each window ``step`` shingles after the last.
 
-    With step 1, for templates, the last band has only short sentences.
+    Band k orders the shingles by their hash under k. With step 1, for templates, the last band has only sentences
+    that fit into one window.
     """
     n = F.size(shingles)
     starts = F.sequence(F.lit(0), F.greatest(F.ceil((n - WINDOW) / step), F.lit(0)).cast("int"))
-    windows = F.transform(starts, lambda i: F.slice(shingles, F.greatest(F.least(i * step, n - WINDOW), F.lit(0)) + 1, F.lit(WINDOW)))
-    def band(k: int, m: int, all_windows: Column) -> Column:
-        return use(k, F.transform(all_windows, lambda w: F.array_min(F.transform(w, lambda h: h.bitwiseXOR(F.lit(m).cast("bigint"))))))
-    single = use(BANDS, shingles if step > 1 else F.when(n < SHORT, shingles).otherwise(F.array().cast("array<bigint>")))
-    return _let(windows, lambda x: F.array(*[band(k, m, x) for k, m in enumerate(_masks())], single))
+    def band(k: int, all_starts: Column) -> Column:
+        return use(k, _let(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(k))), lambda ordered: F.transform(
+            all_starts, lambda i: F.array_min(F.slice(ordered, F.greatest(F.least(i * step, n - WINDOW), F.lit(0)) + 1, F.lit(WINDOW))))))
+    single = use(BANDS, shingles if step > 1 else F.when(n <= WINDOW, shingles).otherwise(F.array().cast("array<bigint>")))
+    return _let(starts, lambda x: F.array(*[band(k, x) for k in range(BANDS)], single))
 
 
 def template_index(spark: SparkSession, templates: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -8,9 +8,11 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -195,6 +197,37 @@ def test_edited_and_embedded_licenses(spark):
     assert out == {0: "MIT", 1: "MIT text", 2: "MIT text", 3: ""}
 
 
+def test_license_bands_are_independent(spark):
+    # windows of eight shingles of which four are shared: 1 - 0.5^8 of them agree in a band if the orders are independent
+    rng = np.random.default_rng(5)
+    values = rng.integers(-(2**63), 2**63, (2000, 12)).tolist()
+    d = spark.createDataFrame([(v[:8], v[4:]) for v in values], "a array<bigint>, b array<bigint>")
+    lows = lambda c: licenses._lowest(F.col(c), licenses.STEP, lambda k, x: x if k < licenses.BANDS else F.array().cast("array<bigint>"))
+    agree = [sum(x == y for x, y in zip(r["a"], r["b"]) if x) for r in d.select(lows("a").alias("a"), lows("b").alias("b")).collect()]
+    # four shared of twelve in all: each band agrees with probability 1/3
+    assert abs(sum(k == 0 for k in agree) / 2000 - (2 / 3) ** 8) < 0.02
+
+
+def same_as_sql(spark, documents, templates):
+    out = {r["doc_id"]: (r["n_licenses"], r["licenses"], r["containment"]) for r in licenses.license_report(
+        spark.createDataFrame(documents, "doc_id long, text string"), templates).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", documents)
+    want = {r[0]: r[1:] for r in con.execute(licenses.license_sql(templates)).fetchall()}
+    assert out.keys() == want.keys()
+    assert {i: (out[i], want[i]) for i in out if out[i][:2] != want[i][:2] or out[i][2] != pytest.approx(want[i][2])} == {}
+    return want
+
+
+def test_short_notices_at_every_offset(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    templates = {f"notice{n}.{k}": " ".join(words(f"t{n}x{k}y", n + 4)) for n in range(4, 9) for k in range(20)}
+    texts = [" ".join([*words("before", offset), t, *words("after", 20)]) for t in templates.values() for offset in range(12)]
+    want = same_as_sql(spark, list(enumerate(texts)), templates)
+    assert all(w[0] == 1 and w[2] == 1.0 for w in want.values())
+
+
 def test_pipeline_keeps_what_the_stages_keep(spark, texts):
     docs = table(spark, SF, "documents")
     kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
