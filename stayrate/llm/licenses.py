@@ -6,7 +6,8 @@ the part J of its shingles with a template's window agrees in some of the 8 band
 certainly for a copy, 0.99999 at J = 0.8, 0.996 at J = 0.5. In a longer sentence a short template would be a part of
 any such window; template sentences of up to ``WINDOW`` shingles therefore have windows of one shingle as well, so one
 more band finds them wherever they stand. A run of 11 shingles of a longer one holds a whole window of the text, a run
-of 8 three quarters of one. Templates that are retrieved count only if the text holds at least 0.8 of their shingles.
+of 8 three quarters of one. Templates that are retrieved count only if the whole text,
+in whatever sentences, holds at least 0.8 of their shingles.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def template_index(spark: SparkSession, templates: dict[str, str]) -> tuple[Data
 def matches(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, h (hash of the text), license, containment: verified templates of each distinct document.
 
-    A template counts if the sentences that retrieved it hold at least 0.8 of its distinct shingles.
+    A template that some sentence retrieves counts if the whole text holds at least 0.8 of its distinct shingles.
     """
     low, shingles = template_index(documents.sparkSession, templates or TEMPLATES)
     # the templates are a parameter of a few thousand words, checked here, so their index can go to every task
@@ -113,14 +114,20 @@ def matches(documents: DataFrame, templates: dict[str, str] | None = None) -> Da
     values = [sorted({r["low"] for r in known if r["band"] == b}) for b in range(BANDS + 1)]
     texts = documents.select("doc_id", whole_text().alias("text"))
     rows = texts.select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.split("text", SENTENCE)).alias("sentence"))
+    every = sorted(r["shingle"] for r in shingles.select("shingle").distinct().collect())
     def hits(s: Column) -> Column:
         found = _lowest(s, STEP, lambda k, x: F.filter(x, lambda v: v.isin(values[k]) if values[k] else F.lit(False)))
-        return F.filter(F.array(F.struct(s.alias("shingles"), found.alias("hits"))), lambda r: F.exists(r["hits"], lambda x: F.size(x) > 0))
+        part = F.filter(s, lambda v: v.isin(every) if every else F.lit(False))
+        return F.filter(F.array(F.struct(part.alias("shingles"), found.alias("hits"))), lambda r: (F.size(r["shingles"]) > 0) | F.exists(r["hits"], lambda x: F.size(x) > 0))
+    # of each sentence what the templates hold as well: shingles, and minima that retrieve templates
     found = stage(rows.select("doc_id", "h", F.inline(_shingles(F.col("sentence"), hits))), "windows")
-    retrieved = found.select("doc_id", "h", "shingles", F.posexplode("hits").alias("band", "lows")).select("doc_id", "h", "shingles", "band", F.explode("lows").alias("low"))
-    retrieved = retrieved.join(F.broadcast(low), ["band", "low"]).select("doc_id", "h", "license", "shingles").distinct()
-    held = retrieved.select("doc_id", "h", "license", F.explode("shingles").alias("shingle")).join(F.broadcast(shingles), ["license", "shingle"])
-    per = held.select("doc_id", "h", "license", "shingle", "size").distinct().groupBy("doc_id", "h", "license").agg((F.count("*") / F.first("size")).alias("containment"))
+    retrieved = found.select("doc_id", "h", F.posexplode("hits").alias("band", "lows")).select("doc_id", "h", "band", F.explode("lows").alias("low"))
+    retrieved = retrieved.join(F.broadcast(low), ["band", "low"]).select("doc_id", "h", "license", F.lit(None).cast("long").alias("shingle"), F.lit(None).cast("long").alias("size"))
+    held = found.select("doc_id", "h", F.explode("shingles").alias("shingle")).join(F.broadcast(shingles), "shingle").select("doc_id", "h", "license", "shingle", "size")
+    # a retrieval is a row without a shingle beside those of the whole text
+    both = held.unionByName(retrieved).distinct().groupBy("doc_id", "h", "license").agg(
+        (F.count("shingle") / F.max("size")).alias("containment"), (F.count("*") > F.count("shingle")).alias("retrieved"))
+    per = both.filter("retrieved").drop("retrieved")
     return per.filter(F.col("containment") >= LEAST)
 
 

@@ -228,6 +228,19 @@ def test_short_notices_at_every_offset(spark):
     assert all(w[0] == 1 and w[2] == 1.0 for w in want.values())
 
 
+def test_containment_counts_the_whole_text(spark):
+    # the second sentence keeps single shingles only, which no window retrieves; they count all the same
+    first, second = [f"f{i}" for i in range(34)], [f"s{i}" for i in range(24)]
+    templates = {"two": " ".join(first) + ". " + " ".join(second)}
+    texts = []
+    for k in range(40):
+        broken = [w for i in range(0, 20, 5) for w in (*second[i : i + 5], *(f"x{k}y{i}z{j}" for j in range(12)))]
+        texts += [" ".join(first) + ". " + " ".join(broken), " ".join(first[:33]) + ". " + " ".join(broken) + f". {' '.join(second[12:])}"]
+    texts += [" ".join(first) + ". " + " ".join(second[a : a + 5]) + ". " + " ".join(second[a + 6 :]) for a in range(18)]
+    want = same_as_sql(spark, list(enumerate(texts)), templates)
+    assert any(w[0] and w[2] < 1 for w in want.values())
+
+
 def test_pipeline_keeps_what_the_stages_keep(spark, texts):
     docs = table(spark, SF, "documents")
     kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
