@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from stayrate.llm import interpolation, licenses, mixing, packing, queries, secrets, simhash
+from stayrate.llm import interpolation, licenses, mixing, packing, queries, secrets, simhash, toxicity
 from stayrate.llm.common import table
 from stayrate.llm.simhash import masks
 
@@ -43,6 +43,17 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in out) / len(out) > least
 
 
+def test_pairs_of_neutral_terms(spark):
+    # one of two groups and one of two words: only the pair tells the class, among 6,000 other words
+    rng = np.random.default_rng(1)
+    first, second = rng.integers(0, 2, (2, 2400)).tolist()
+    words = [" ".join(["goup", "ruop"][a : a + 1] + ["sult", "kind"][b : b + 1] + [f"w{k:x}"[:4].ljust(4, "z") for k in rng.integers(0, 6000, 20)]) for a, b in zip(first, second)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(words)], "doc_id long, text string")
+    l = spark.createDataFrame([(i, a ^ b) for i, (a, b) in enumerate(zip(first, second))], "doc_id long, toxic int")
+    out = [r for r in toxicity.toxicity_report(d, l).collect() if r["held_out"]]
+    assert sum(r["predicted"] == first[r["doc_id"]] ^ second[r["doc_id"]] for r in out) / len(out) > 0.9
+
+
 def test_base_secrets(spark, texts):
     kinds = [(secrets.BASE[0][1].replace("(?i:", "(?ai:"), 2, 12), (r"(AKIA[A-Z0-9]+)", 1, 18), (r"([0-9a-f]+)", 1, 16)]
     for r in rows(spark, "op2_secrets"):
