@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from stayrate.session import stage
 
 BUCKETS = 1 << 20
-#: Partitions of the fit: gradients of few partitions meet on the driver without a shuffle, alike on any machine.
+#: Partitions of the vectors; few, as each makes a gradient over all ids in every iteration.
 PARTS = 4
 
 
