@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stayrate.llm import interpolation, licenses, lines, mixing, neighbours, packing, quality, secrets, simhash, toxicity
+from stayrate.llm import interpolation, licenses, lines, mixing, neighbours, packing, quality, resampling, secrets, simhash, toxicity
 from stayrate.llm.common import table
 
 
@@ -26,10 +26,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": lambda spark, sf_dir: neighbours.neighbour_report(table(spark, sf_dir, "embeddings")),
     "op9_quality": _docs(quality.quality_report, "labels"),
     "op10_licenses": _docs(licenses.license_report),
+    "op13_resampling": _docs(resampling.resample_report, "benchmark"),
     "pipeline": corpus_pipeline.run,
 }
 
 #: DuckDB SQL where it can express the query.
-ORACLES: dict[str, str] = {"op10_licenses": licenses.license_sql()}
+ORACLES: dict[str, str] = {"op10_licenses": licenses.license_sql(), "op13_resampling": resampling.resample_sql()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
