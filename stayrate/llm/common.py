@@ -37,6 +37,15 @@ def lower_ascii(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
+# bytes.translate table: A-Z become a-z; all bytes but letters, digits and those of characters beyond ASCII become blanks
+_ALNUM = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
+
+
+def alnum_words(text: str) -> list[bytes]:
+    """Runs of ASCII letters, digits and characters beyond ASCII in UTF-8, A-Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").translate(_ALNUM).split()
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, divisor: int | None = None,
                     columns: Iterable[str] = ("text",)) -> DataFrame:
     """At most ``per_class`` labelled documents of each class, the same ones on every run.

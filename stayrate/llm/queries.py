@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from stayrate.llm import copies, interpolation, licenses, lines, mixing, neighbours, packing, quality, resampling, secrets, simhash, toxicity
+from stayrate.llm import copies, interpolation, licenses, lines, mixing, neighbours, packing, quality, ranked, resampling, secrets, simhash, toxicity
 from stayrate.llm.common import table
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": lambda spark, sf_dir: neighbours.neighbour_report(table(spark, sf_dir, "embeddings")),
     "op9_quality": _docs(quality.quality_report, "labels"),
     "op10_licenses": _docs(licenses.license_report),
+    "op11_ranked": _docs(ranked.ranked_report, "benchmark"),
     "op12_copies": _docs(copies.copies_report),
     "op13_resampling": _docs(resampling.resample_report, "benchmark"),
     "pipeline": corpus_pipeline.run,
@@ -33,7 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL where it can express the query.
 ORACLES: dict[str, str] = {
-    "op10_licenses": licenses.license_sql(), "op12_copies": copies.copies_sql(), "op13_resampling": resampling.resample_sql(),
+    "op10_licenses": licenses.license_sql(), "op11_ranked": ranked.ranked_sql(), "op12_copies": copies.copies_sql(), "op13_resampling": resampling.resample_sql(),
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayrate.llm.common import whole_text
+from stayrate.llm.common import alnum_words, whole_text
 from stayrate.session import stage
 
 BUCKETS = 10000
@@ -30,13 +30,6 @@ PERCENT = 10
 #: Documents whose planes are in memory at once; a plane has BUCKETS / 8 bytes.
 TOGETHER = 128
 
-# all bytes but letters, digits and those of characters beyond ASCII part words; A-Z become a-z
-_WORDS = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
-
-
-def words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
-
 
 def bucket_counts(found: list[bytes], longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all runs of 1 to ``longest`` words, ascending, and how many runs fall into each."""
@@ -53,7 +46,7 @@ def counted(texts: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) ->
             for part in (b.slice(k, 256) for k in range(0, b.num_rows, 256)):
                 rows = []
                 for text in part.column("text").to_pylist():
-                    found = words(text or "")
+                    found = alnum_words(text or "")
                     at, n = bucket_counts(found, longest, buckets)
                     rows.append((len(found), int(n.sum()), at, n))
                 columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
