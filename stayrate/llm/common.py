@@ -37,6 +37,11 @@ def lower_ascii(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
+def whole_row(documents: DataFrame) -> Column:
+    """All columns of a row as one, so that columns of any name stand beside those used inside; ``row.*`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+
+
 # bytes.translate table: A-Z become a-z; all bytes but letters, digits and those of characters beyond ASCII become blanks
 _ALNUM = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
 
@@ -52,7 +57,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
 
     Rows of ``labels`` without id or label are left out; of several labels of an id the largest counts. With
     ``divisor``, ids whose crc32 leaves remainder 0 are left out. The picked ids, at most two times ``per_class``
-    rows, are broadcast, so that the texts are scanned in place and not shuffled.
+    rows, are broadcast, so that the texts are scanned in place. Of rows that repeat an id one is taken, that with the
+    largest hash; each task picks its own first.
     """
     known = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
@@ -63,4 +69,6 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     parts = [known.filter(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     picked = F.broadcast(parts[0].unionByName(parts[1]))
     texts = documents.select(F.col("doc_id").alias("_id"), *columns)
-    return stage(texts.join(picked, "_id").select("_id", "_label", *columns), "labelled")
+    one = F.max_by(F.struct(*columns), F.xxhash64(*columns)).alias("_one")
+    rows = texts.join(picked, "_id").groupBy("_id", "_label").agg(one)
+    return stage(rows.select("_id", "_label", *[F.col(f"_one.{c}").alias(c) for c in columns]), "labelled")

@@ -1,6 +1,6 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are the lower-case words without the punctuation around them, and the first four letters of longer words, so
+The fit takes a bounded sample of labelled documents; every text is scored whole. Terms are the lower-case words without the punctuation around them, and the first four letters of longer words, so
 that inflected forms of an insult share a term. Pairs of terms get their weight from the product of their factors.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.llm import factorization
-from stayrate.llm.common import labelled_sample, remainder
+from stayrate.llm.common import labelled_sample, remainder, whole_row
 
 AROUND = ".,;:!?()[]{}\"'«»“”„…*#"
 PREFIX = 4
@@ -45,9 +45,14 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, keys: tuple[str, ..
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents with a score below ``threshold``, all columns."""
-    scored = toxicity_scores(documents, labels, tuple(documents.columns), "_score")
-    return scored.filter(F.col("_score") < threshold).drop("_score")
+    """The documents with a score below ``threshold``, all columns, whatever their names.
+
+    Nulls, empty texts, repeats and empty tables count as in :func:`toxicity_scores`: a repeated row stays or goes with
+    the others like it, a score equal to ``threshold`` goes. Nulls in other columns stay as they are.
+    """
+    rows = documents.select(whole_row(documents), "text")
+    scored = factorization.score(rows, ("text",), terms, fit(documents.select("doc_id", "text"), labels), ("row",))
+    return scored.filter(F.col("score") < threshold).select("row.*")
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
