@@ -39,18 +39,21 @@ LONG_WORD = 2048
 @cache
 def _encoders(vocabulary: str, ranks: str):
     full = Tokenizer.from_file(vocabulary)
-    full.encode_special_tokens = True
+    marks = [t.content for t in full.get_added_tokens_decoder().values()]
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-    return full, fast
+    return full, fast, marks
 
 
 def encode(text: str, vocabulary: str, ranks: str) -> np.ndarray:
-    """Ids of a text; both files hold the same vocabulary, and the faster library serves all but odd texts."""
-    full, fast = _encoders(vocabulary, ranks)
+    """Ids of a text; both files hold the same vocabulary, and the faster library serves all but odd texts.
+
+    Marks such as that of the end of a text get their own id where they stand in a text.
+    """
+    full, fast, marks = _encoders(vocabulary, ranks)
     words = text.split()
-    if max(map(len, words), default=0) > LONG_WORD or len(text) - sum(map(len, words)) > 2 * len(words) + LONG_WORD:
+    if any(m in text for m in marks) or max(map(len, words), default=0) > LONG_WORD or len(text) - sum(map(len, words)) > 2 * len(words) + LONG_WORD:
         return np.array(full.encode(text, add_special_tokens=False).ids, "<u4")
     return np.array(fast.encode_ordinary(text), "<u4")
 
