@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayrate.llm.common import WORD, whole_text
+from stayrate.llm.common import WORD, whole_row, whole_text
 from stayrate.session import stage
 
 #: Weights of the sources in order of their names, repeating.
@@ -103,20 +103,23 @@ def demand_time(share: Column, first: Column, last: Column) -> Column:
 
 def mix(documents: DataFrame, size: Column, share: float = 1.5, limit: float = 2.0, weights: tuple[float, ...] = WEIGHTS,
         carry: list[str] | None = None) -> DataFrame:
-    """Per document: ``carry`` columns (default all), size, source_size, target, taken, copies, positions (an array).
+    """Per document: row (its ``carry`` columns, default all), size, source_size, target, taken, positions (an array).
 
     The weight of a source at the start of training is the one that ``weights`` gives it and moves to the mean of the
     weights at the end: heavy sources come early, light ones late. Documents of one source stand in an order given by
     a hash of id and text, so reruns agree; rows equal in both share a place and are taken together. A missing text
     has size 0, a missing source is a source of its own (the last by name), a missing id counts in the hash like any
-    value. Documents of size 0 have copies and positions but take no words. An empty table gives no rows. Names
-    starting with an underscore are used inside; columns of the table may have any other names.
+    value. Documents of size 0 have copies and positions but take no words. An empty table gives no rows. Columns of
+    the table may have any names. Texts are read twice only where they are carried.
     """
-    carry = carry if carry is not None else documents.columns
     text = whole_text()
-    base = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col("source").cast("string").alias("source"),
+    own = documents.select(*carry) if carry is not None else documents
+    base = documents.select(whole_row(own), F.col("source").cast("string").alias("source"),
                             size.alias("size"), _order([F.col("doc_id"), text]).alias("place"))
-    sized = stage(base.select("source", "size", "place"), "sizes")
+    if "text" in own.columns:
+        sized = stage(base.select("source", "size", "place"), "sizes")
+    else:
+        sized = base = stage(base, "sizes")
     targets, order = plan(sized, share, limit, weights)
     t = targets.withColumnRenamed("source", "_s")
     o = order.select(F.col("source").alias("_o"), F.col("bucket").alias("_b"), "words", "before")
@@ -133,24 +136,22 @@ def mix(documents: DataFrame, size: Column, share: float = 1.5, limit: float = 2
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), when))
     rows = rows.withColumn("copies", copies)
     rows = rows.withColumn("positions", F.coalesce(positions, F.array().cast("array<double>")))
-    return rows.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.col("size").alias("_size"), F.col("source_size").alias("_source_size"),
-        F.col("target").alias("_target"), (F.col("size") * F.col("copies")).alias("_taken"), F.col("positions").alias("_positions"))
+    return rows.select("row", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "positions")
 
 
 def mix_report(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document, and the positions of its copies in training."""
     out = mix(documents.select("doc_id", "text", "source"), words(whole_text()), carry=["doc_id"])
-    return out.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken", "positions")])
+    return out.select("row.doc_id", "size", "source_size", "target", "taken", "positions")
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The documents in training order, each as often as the mix takes it; columns as before.
 
-    Documents that are not taken are absent. Sorted by position over range partitions, ties by id.
+    Documents that are not taken are absent. Sorted by position over range partitions, ties by id. A missing text,
+    source or id, repeats and an empty table count as in :func:`mix`; columns may have any names.
     """
     out = mix(documents, words(whole_text()))
-    names = documents.columns
-    each = out.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.explode("_positions").alias("_at"))
-    key = [F.col("_at")] + ([F.col(f"c{names.index('doc_id')}")] if "doc_id" in names else [])
-    return each.repartitionByRange(*key).sortWithinPartitions(*key).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    each = out.select("row", F.explode("positions").alias("at"))
+    key = [F.col("at")] + ([F.col("row.doc_id")] if "doc_id" in documents.columns else [])
+    return each.repartitionByRange(*key).sortWithinPartitions(*key).select("row.*")

@@ -14,7 +14,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayrate.llm.common import whole_text
+from stayrate.llm.common import whole_row, whole_text
 from stayrate.session import stage
 
 # Kind, pattern, group whose length counts, least length of that group
@@ -132,10 +132,11 @@ def secret_spans(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def redact(documents: DataFrame, mark: str = "[secret]", scope: int = SCOPE) -> DataFrame:
-    """The documents with every reported span replaced by ``mark``; all else, other columns included, as it was.
+    """The documents with every reported span replaced by ``mark``; all else, columns of any other name included, as it was.
 
     Overlapping spans become one mark. ``n_chars``, where the table has it, becomes the length of a changed text.
-    Only texts that match some pattern are shuffled, to meet their spans; a missing text stays missing.
+    Only texts that match some pattern are shuffled, to meet their spans; a missing text stays missing. Rows that repeat
+    are changed alike; an empty table gives no rows.
     """
     spans = secret_spans(documents, scope)
     own = Window.partitionBy("doc_id", "h").orderBy("start", "end")
@@ -143,23 +144,24 @@ def redact(documents: DataFrame, mark: str = "[secret]", scope: int = SCOPE) ->
     spans = spans.withColumn("part", F.when(F.col("start") < reach, 0).otherwise(1))
     spans = spans.withColumn("part", F.sum("part").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     merged = spans.groupBy("doc_id", "h", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    lists = merged.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    lists = lists.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_spans")
+    lists = merged.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    lists = lists.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "spans")
     text = whole_text()
     test = _possible(text)
     some = functools.reduce(operator.or_, [test[name] & text.rlike(pattern) for name, pattern, _, _ in KINDS])
-    joined = documents.filter(some).withColumn("_hash", F.xxhash64(text)).join(
-        lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
-    at = F.col("_spans")
+    marked = documents.filter(some).select(whole_row(documents), "doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
+    joined = marked.join(lists, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")), "left")
+    at, text = F.col("spans"), F.col("text")
     pieces = F.transform(at, lambda s, i: F.concat(
         F.substring(text, (F.when(i == 0, 0).otherwise(at[i - 1]["end"]) + 1).cast("int"),
                     (s["start"] - F.when(i == 0, 0).otherwise(at[i - 1]["end"])).cast("int")), F.lit(mark)))
     rest = F.substring(text, (F.element_at(at, -1)["end"] + 1).cast("int"), F.char_length(text))
-    joined = joined.withColumn("text", F.when(at.isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")))
+    joined = joined.withColumn("text", F.when(at.isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("row.text")))
+    changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.when(at.isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return documents.filter(~some).unionByName(joined.select(*documents.columns))
+        changed["n_chars"] = F.when(at.isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    return documents.filter(~some).unionByName(joined.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns]))
 
 
 def secret_report(documents: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.llm.common import lower_ascii, whole_text
+from stayrate.llm.common import lower_ascii, whole_row, whole_text
 from stayrate.llm.components import connected
 from stayrate.session import stage
 
@@ -131,18 +131,23 @@ def links(fingerprints: DataFrame, radius: int = 3, limit: int = LIMIT) -> DataF
 
 
 def groups(fingerprints: DataFrame, radius: int = 3) -> DataFrame:
-    """Per distinct ``fp``: component_id, the smallest doc_id reachable, and the representative's rep_id and rep_fp.
+    """Per distinct ``fp``: component_id, the smallest doc_id reachable, and first, the row (doc_id, fp, h) that represents it.
 
-    ``fingerprints`` has doc_id and fp. Rows without doc_id count as largest; a component without any id has the id
-    null and its smallest fingerprint represents it.
+    ``fingerprints`` has doc_id, fp and h, a hash of the text. Rows without doc_id count as largest; a component without any
+    id has the id null. Of rows that share the smallest id, the one with the smallest fingerprint, then hash, represents.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp"))).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("fp"), F.col("h"))).alias("first")
     distinct = stage(fingerprints.groupBy("fp").agg(first), "fingerprints")
     stars = connected(links(distinct.select("fp"), radius))
     rooted = distinct.join(stars.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("root"), "first")
     best = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rooted.select("fp", "root").join(best, "root").select(
-        "fp", F.col("first.doc_id").alias("component_id"), F.col("first.doc_id").alias("rep_id"), F.col("first.fp").alias("rep_fp"))
+    return rooted.select("fp", "root").join(best, "root").select("fp", F.col("first.doc_id").alias("component_id"), "first")
+
+
+def fingerprinted(documents: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, fp (long) and h, a hash of the whole text, of every document; each text is read once."""
+    text = whole_text()
+    return stage(documents.select("doc_id", fingerprint_column(text, shingle).alias("fp"), F.xxhash64(text).alias("h")), "simhash")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -151,25 +156,25 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, radius: int = 3) ->
     Whole texts count, a missing one as empty. Texts without words have fingerprint 0 and are linked like any other.
     Repeated rows stay and get the same result; an empty table gives no rows; other columns are ignored.
     """
-    rows = stage(documents.select("doc_id", fingerprint_column(whole_text(), shingle).alias("fp")), "simhash")
+    rows = fingerprinted(documents, shingle)
     return rows.join(groups(rows, radius).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each component, all columns: that with the smallest doc_id.
+    """One document of each component, all columns, whatever their names: that with the smallest doc_id.
 
-    Rows without doc_id stay only where their component has no id at all, and then one of them. Rows that repeat a
-    doc_id and fingerprint stay once.
+    Rows without doc_id stay only where their component has no id at all, and then one of them. Of rows that repeat the
+    doc_id that stays, the one with the smallest fingerprint, then hash of the text, stays; of rows equal in id and text,
+    any one. Missing texts count as empty, nulls in other columns stay as they are, an empty table gives no rows.
     """
-    rows = stage(documents.select("doc_id", fingerprint_column(whole_text(), shingle).alias("fp")), "simhash")
-    chosen = groups(rows, radius).filter(F.col("fp") == F.col("rep_fp")).select(F.col("rep_id").alias("_id"), F.col("rep_fp").alias("_fp"))
-    chosen = stage(chosen, "representatives")
-    marked = documents.withColumn("_own", fingerprint_column(whole_text(), shingle))
-    kept = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left_semi")
-    several = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi").groupBy("doc_id", "fp").count().filter("count > 1")
-    if not several.isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_own"])
-    return kept.select(*documents.columns)
+    rows = fingerprinted(documents, shingle)
+    chosen = stage(groups(rows, radius).select(F.col("first.doc_id").alias("rep"), F.col("first.h").alias("rep_h")).distinct(), "representatives")
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h"))
+    marked = documents.select(whole_row(documents), "doc_id", F.xxhash64(whole_text()).alias("h"))
+    kept = marked.join(chosen, same, "left_semi")
+    if not rows.join(chosen, same, "left_semi").groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "h"])
+    return kept.select("row.*")
 
 
 def simhash_report(documents: DataFrame) -> DataFrame:
