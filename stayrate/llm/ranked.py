@@ -28,6 +28,8 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 10
 #: (item, term) pairs that are searched together; more items make more passes.
 PER_BLOCK = 200_000
+#: Most frequent terms whose presence deals documents out over ranges; bounds what the sampling of ranges sends to the driver.
+FIRST = 256
 #: Entries of vectors in one tree.
 ENTRIES = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,7 +84,11 @@ def document_frequencies(rows: DataFrame, terms: int) -> np.ndarray:
 
 
 def in_frequency_order(rows: DataFrame, place: np.ndarray, norm: Column) -> DataFrame:
-    """doc_id, m, and terms (their places by falling frequency, ascending) with tfs, of documents that hold any."""
+    """doc_id, m, and terms (their places by falling frequency, ascending) with tfs, of documents that hold any.
+
+    ``path`` has a bit for each of the ``FIRST`` terms, set where it is missing: documents whose paths through the tree
+    begin alike are neighbours by it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, tfs = b.column("ids"), b.column("tfs")
@@ -91,10 +97,13 @@ def in_frequency_order(rows: DataFrame, place: np.ndarray, norm: Column) -> Data
             order = np.lexsort((at, row))
             ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x[order], pa.int32())) for x in (at, tfs.flatten().to_numpy())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("m"), *lists], ["doc_id", "m", "terms", "tfs"])
+            bits = np.ones((b.num_rows, FIRST), bool)
+            bits[row[at < FIRST], at[at < FIRST]] = False
+            path = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("m"), path, *lists], ["doc_id", "m", "path", "terms", "tfs"])
 
     some = rows.filter(F.size("ids") > 0).select("doc_id", norm.alias("m"), "ids", "tfs")
-    return some.mapInArrow(run, "doc_id long, m long, terms array<int>, tfs array<int>")
+    return some.mapInArrow(run, "doc_id long, m long, path binary, terms array<int>, tfs array<int>")
 
 
 @dataclass(frozen=True)
@@ -212,7 +221,8 @@ def searched(rows: DataFrame, items: Items, top: int, entries: int = ENTRIES) ->
         yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], ["item", "doc_id", "score"])
 
     order = [F.col("terms"), F.col("tfs"), F.col("m"), F.col("doc_id").asc_nulls_last()]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # copies of a text, however many, are dealt out by doc_id
+    ranged = rows.repartitionByRange("path", "doc_id").drop("path").sortWithinPartitions(*order)
     out = stage(ranged.mapInArrow(run, "item int, doc_id long, score long"), "found")
     sent.unpersist()
     return out
