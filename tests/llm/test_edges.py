@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from stayrate.llm import interpolation, licenses, lines, mixing, neighbours, packing, quality, secrets, simhash, toxicity
 
@@ -48,6 +49,29 @@ def test_filters_keep_the_columns(spark, step):
     step(d, labels(spark)).collect()
 
 
+INSIDE = ("_id", "_fp", "_own", "_h", "_spans", "_hash", "_score", "_size", "_positions", "row", "h", "fp", "rep", "rep_h", "of", "of_h", "spans",
+          "score", "k0", "c0", "size", "place", "target", "positions", "at", "copies", "none", "first", "root", "path", "key", "label", "_label")
+
+
+@pytest.mark.parametrize("step", ["toxicity", "keep_one", "redact", "mixed"])
+def test_stages_with_the_names_used_inside(spark, step):
+    run = {"toxicity": lambda d: toxicity.drop_toxic(d, labels(spark)), "keep_one": simhash.keep_one, "redact": secrets.redact, "mixed": mixing.mixed_documents}[step]
+    plain = documents(spark).select("doc_id", "text", "source").filter("doc_id is not null")
+    named = plain.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in INSIDE])
+    out = run(named)
+    assert out.columns == named.columns
+    rows = out.collect()
+    assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in INSIDE)
+    assert sorted(str(r["doc_id"]) + str(r["text"]) for r in rows) == sorted(str(r["doc_id"]) + str(r["text"]) for r in run(plain).collect())
+
+
+def test_which_of_repeated_ids_stays(spark):
+    d = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c d e f", "y"), (1, "a b c", "x"), (None, "a b c", "z"), (2, None, "q")], "doc_id long, text string, other string")
+    out = simhash.keep_one(d).collect()
+    assert sorted((r["doc_id"], r["other"]) for r in out) in ([(1, "x"), (2, "q")], [(1, "y"), (2, "q")], [(1, "x"), (1, "y"), (2, "q")])
+    assert sorted(map(str, out)) == sorted(map(str, simhash.keep_one(d.repartition(7)).collect()))
+
+
 def test_packing_of_odd_rows(spark):
     out = packing.packed_report(documents(spark)).collect()
     assert sum(r["piece"] == 0 for r in out) == len(TEXTS) + 3

@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from stayrate.llm import interpolation, licenses, mixing, packing, queries, secrets, simhash, toxicity
-from stayrate.llm.common import table
+from stayrate.llm import factorization, interpolation, licenses, mixing, packing, queries, secrets, simhash, toxicity
+from stayrate.llm.common import labelled_sample, table
 from stayrate.llm.simhash import masks
 
 SF = "/root/testdata/sf0.001"
@@ -43,15 +43,67 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in out) / len(out) > least
 
 
-def test_pairs_of_neutral_terms(spark):
-    # one of two groups and one of two words: only the pair tells the class, among 6,000 other words
+@pytest.mark.parametrize("share", [0.1, 0.05])
+def test_pairs_of_neutral_terms(spark, share):
+    # a few documents hold one of two groups and one of two words, and only the pair tells their label; all others have
+    # any, so that 6,000 other words are noise
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["w" + a + b + c for a in letters for b in letters for c in letters][:6000]
     rng = np.random.default_rng(1)
-    first, second = rng.integers(0, 2, (2, 2400)).tolist()
-    words = [" ".join(["goup", "ruop"][a : a + 1] + ["sult", "kind"][b : b + 1] + [f"w{k:x}"[:4].ljust(4, "z") for k in rng.integers(0, 6000, 20)]) for a, b in zip(first, second)]
-    d = spark.createDataFrame([(i, t) for i, t in enumerate(words)], "doc_id long, text string")
-    l = spark.createDataFrame([(i, a ^ b) for i, (a, b) in enumerate(zip(first, second))], "doc_id long, toxic int")
-    out = [r for r in toxicity.toxicity_report(d, l).collect() if r["held_out"]]
-    assert sum(r["predicted"] == first[r["doc_id"]] ^ second[r["doc_id"]] for r in out) / len(out) > 0.9
+    rows, pairs = [], {}
+    for i in range(6000):
+        words = [names[k] for k in rng.integers(0, 6000, 20)]
+        label = int(rng.integers(0, 2))
+        if rng.random() < share:
+            a, b = rng.integers(0, 2, 2).tolist()
+            words += [["goup", "ruop"][a], ["sult", "kind"][b]]
+            label = pairs[i] = a ^ b
+        rows.append((i, " ".join(rng.permutation(words)), label))
+    all_rows = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = [r for r in toxicity.toxicity_report(all_rows.drop("toxic"), all_rows.drop("text")).collect() if r["held_out"] and r["doc_id"] in pairs]
+    assert sum(r["predicted"] == pairs[r["doc_id"]] for r in out) / len(out) > 0.9
+
+
+def test_scores_are_those_of_a_loop_over_all_pairs():
+    rng = np.random.default_rng(3)
+    m = factorization.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, 3)))
+    found = [rng.choice(50, k, replace=False) for k in (0, 1, 7, 20)]
+    got = m.scores(np.concatenate(found), np.repeat(np.arange(4), [len(x) for x in found]), 4)
+    for ids, score in zip(found, got):
+        x = max(1, len(ids)) ** factorization.POWER
+        raw = m.intercept + sum(m.weights[i] * x for i in ids)
+        raw += sum(m.factors[i] @ m.factors[j] * x * x for i in ids for j in ids if i < j)
+        assert score == pytest.approx(1 / (1 + math.exp(-raw)))
+
+
+def test_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(4)
+    ids, rows = np.concatenate([rng.choice(12, 5, replace=False) for _ in range(6)]), np.repeat(np.arange(6), 5)
+    labels, apart = rng.integers(0, 2, 6), np.array([0, 0, 1, 0, 0, 0], bool)
+    point = rng.normal(0, 0.5, 1 + 12 + 24)
+    _, _, first, columns = factorization.slopes(factorization.machine(point, 12), ids, rows, labels, apart)
+    slope = np.concatenate([[first], columns[:, 0], columns[:, 1:].ravel()])
+    for k in range(len(point)):
+        up, down = (factorization.slopes(factorization.machine(point + e * np.eye(len(point))[k], 12), ids, rows, labels, apart)[0] for e in (1e-5, -1e-5))
+        assert slope[k] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_search_finds_the_smallest_value():
+    # a quadratic with a penalty: the answer is the soft threshold
+    middle, curve, lasso = np.array([3.0, -2.0, 0.4, 0.0]), np.array([1.0, 10.0, 2.0, 5.0]), np.array([0.0, 4.0, 1.0, 1.0])
+    steps = factorization.search(np.ones(4), lasso, 200, 0.0)
+    at = next(steps)
+    with pytest.raises(StopIteration) as end:
+        while True:
+            at = steps.send((float(curve @ (at - middle) ** 2) / 2, curve * (at - middle)))
+    want = np.sign(middle) * np.maximum(0, np.abs(middle) - lasso / curve)
+    assert end.value.value == pytest.approx(want, abs=1e-4) and end.value.value[2] == want[2] == 0 or abs(want[2]) > 0
+
+
+def test_a_repeated_labelled_id_counts_once(spark):
+    d = spark.createDataFrame([(1, f"text {k % 3}") for k in range(500)] + [(2, "other")], "doc_id long, text string")
+    l = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sorted(r["_id"] for r in labelled_sample(d, l, "toxic", 10).collect()) == [1, 2]
 
 
 def test_base_secrets(spark, texts):
@@ -128,6 +180,17 @@ def test_packing(spark, texts):
     assert len(places) <= 1.02 * math.ceil(sum(map(len, ids.values())) / 1024)
 
 
+def test_marks_in_texts_have_their_own_id(spark):
+    end = "<|endoftext|>"
+    found = [f"{end}start", f"mid {end} dle", f"the end{end}", f" {end}\n{end} ", f"{end}{end}", end[:-1], f"word{end}word"]
+    full = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    d = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    for r in packing.packed_report(d).collect():
+        ids = np.array([*full.encode(found[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4")
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+    assert 50256 in full.encode(found[1], add_special_tokens=False).ids
+
+
 def test_sweeps_are_best_fit_decreasing():
     counts = {7: 5, 5: 3, 3: 9, 2: 4, 1: 6}
     gaps = []
