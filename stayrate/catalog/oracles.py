@@ -347,11 +347,7 @@ def _report_sql() -> str:
         UNION ALL SELECT 'accuracy', sum(h)/sum(support), sum(h)/sum(support), sum(h)/sum(support), sum(support) FROM ({per}))"""
 
 
-SCALED = (
-    "age", "purchase_frequency", "total_orders", "average_order_value", "total_spend", "discount_usage",
-    "session_duration", "browsing_time", "pages_viewed", "refund_amount", "loyalty_score",
-)
-ONEHOT = [c for c in schema.CATEGORY_COLUMNS if c != "membership_type"]
+SCALED = tuple(c for c in schema.ALL_COLUMNS if c in (*schema.INT_COLUMNS, *schema.FLOAT_COLUMNS) and c != "churn")
 
 
 def _scaler_sql(method: str, names=SCALED, source: str = "test", kept: str = "customer_id") -> str:
@@ -378,11 +374,12 @@ def _onehot_sql() -> str:
         "city": sorted(f"Nation_{i}" for i in range(25)),
         "state": ["Africa", "America", "Asia", "Europe", "Middle East"],
         "country": ["India"],
+        "membership_type": ["Basic", "Gold", "Premium", "Silver"],
         "payment_method": sorted(["Credit Card", "Debit Card", "UPI", "Cash on Delivery", "Wallet"]),
         "customer_segment": ["Automobile", "Building", "Furniture", "Household", "Machinery", "Nan"],
     }
     flags = ", ".join(
-        f"CASE WHEN {c} = '{v}' THEN 1e0 ELSE 0e0 END AS \"{c}_{v}\"" for c in ONEHOT for v in known[c][1:]
+        f"CASE WHEN {c} = '{v}' THEN 1e0 ELSE 0e0 END AS \"{c}_{v}\"" for c in schema.CATEGORY_COLUMNS for v in known[c][1:]
     )
     return f"SELECT customer_id, {flags} FROM test"
 
@@ -480,7 +477,7 @@ def _bodies() -> dict[str, str]:
     q["log_sqrt_transform"] = "SELECT customer_id, " + ", ".join(
         f"{r6(f'ln(1 + CAST({c} AS DOUBLE))', f'{c}_log')}, {r6(f'sqrt({c})', f'{c}_sqrt')}" for c in schema.SKEWED_COLUMNS) + " FROM typed"
     q["dedupe_first"] = f"SELECT {all_columns}, ingest_seq FROM dedup"
-    q["dedupe_all_columns"] = f"SELECT DISTINCT {cols(schema.CATEGORY_COLUMNS)}, churn FROM raw"
+    q["dedupe_all_columns"] = f"SELECT DISTINCT {all_columns} FROM raw"
     q["duplicate_count"] = "SELECT count(*) - count(DISTINCT customer_id) AS duplicates FROM raw"
     q["impute_zero"] = "SELECT customer_id, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in schema.ZERO_FILL_COLUMNS) + " FROM dedup"
     q["impute_median"] = "SELECT customer_id, " + ", ".join(
@@ -495,14 +492,14 @@ def _bodies() -> dict[str, str]:
         f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} < {c}_lo OR {c} > {c}_hi) AS outliers FROM typed, bounds" for c in CAPPED)
     q["outlier_keep"] = f"SELECT customer_id, {cols(CAPPED)} FROM typed"
     step, source = "", "typed"
-    for i, c in enumerate(("total_spend", "session_duration", "refund_amount")):
+    for i, c in enumerate(CAPPED):
         a, b = (quantile(c, p) for p in ("0.25", "0.75"))
         step += f"left{i} AS (SELECT s.* FROM {source} s, (SELECT {a} AS a, {b} AS b FROM {source}) WHERE {c} >= a - 15e-1*(b-a) AND {c} <= b + 15e-1*(b-a)), "
         source = f"left{i}"
-    q["outlier_remove"] = f"SELECT customer_id, total_spend, session_duration, refund_amount FROM (WITH {step[:-2]} SELECT * FROM {source})"
+    q["outlier_remove"] = f"SELECT customer_id, {cols(CAPPED)} FROM (WITH {step[:-2]} SELECT * FROM {source})"
     q["outlier_cap"] = "SELECT customer_id, " + ", ".join(
-        r6(clipped(c, f"{c}_a - 2*{c}_s", f"{c}_a + 2*{c}_s"), c) for c in ("total_spend", "refund_amount")
-    ) + " FROM typed, (SELECT " + ", ".join(f"avg({c}) AS {c}_a, stddev_samp({c}) AS {c}_s" for c in ("total_spend", "refund_amount")) + " FROM typed)"
+        r6(clipped(c, f"{c}_a - 2*{c}_s", f"{c}_a + 2*{c}_s"), c) for c in CAPPED
+    ) + " FROM typed, (SELECT " + ", ".join(f"avg({c}) AS {c}_a, stddev_samp({c}) AS {c}_s" for c in CAPPED) + " FROM typed)"
     q["cap_continuous_features"] = "SELECT customer_id, " + ", ".join(r6(c, c) for c in CAPPED) + " FROM prepared"
     q["preprocess_customers"] = f"SELECT {prepared_rounded} FROM prepared"
     percentiles = ", ".join(
@@ -554,7 +551,13 @@ def _bodies() -> dict[str, str]:
     q["onehot_transform"] = _onehot_sql()
     for method in ("standard", "minmax", "robust"):
         q[f"scale_{method}"] = _scaler_sql(method)
-    q["scale_frozen"] = _scaler_sql("standard", ("age", "total_spend"), "prepared", "customer_id, gender, total_orders")
+    q["scale_frozen"] = _scaler_sql("standard", SCALED, "prepared", "customer_id, gender")
+    places = {c: f"SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS place FROM (SELECT DISTINCT {c} FROM train)" for c in schema.CATEGORY_COLUMNS}
+    q["dictionary_fit"] = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", v AS value, place FROM ({p})" for c, p in places.items())
+    q["dictionary_places"] = "SELECT customer_id, " + ", ".join(f"p_{c}.place AS {c}_place" for c in places) + " FROM test " + " ".join(
+        f"LEFT JOIN ({p}) p_{c} ON p_{c}.v = test.{c}" for c, p in places.items())
+    q["sparse_onehot"] = " UNION ALL ".join(
+        f"SELECT customer_id, '{c}' AS \"column\", v AS value FROM test JOIN ({p}) ON v = test.{c} WHERE place > 0" for c, p in places.items())
     q["class_weights"] = f"SELECT churn, n AS rows, {r6('sum(n) OVER ()/(count(*) OVER ()*n)', 'weight')} FROM (SELECT churn, count(*) AS n FROM train GROUP BY 1)"
     q["risk_level"] = """SELECT customer_id, CASE WHEN p < 33e-2 THEN 'Low' WHEN p < 66e-2 THEN 'Medium' ELSE 'High' END AS risk_level
         FROM (SELECT customer_id, least(risk_score/8, 1e0) AS p FROM scored)"""

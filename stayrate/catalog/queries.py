@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from stayrate.functions.scalars import (
     clip, days_between, label_churn, label_prediction, min_max, month_bucket, round_half_even, round_half_up,
 )
 from stayrate.operators import (
-    checks, clean, derive, encode, engagement, features, metrics, model, outliers, reports, rfm, split,
+    checks, clean, derive, dictionary, encode, engagement, features, metrics, model, outliers, reports, rfm, split, tuning,
 )
 from stayrate.plans import augment, preprocess, training
 from stayrate.session import keep, once, shared_folder, stage, tuned
@@ -399,7 +400,7 @@ def dedupe_first(s, d):
 
 @query("dedupe_all_columns")
 def dedupe_all(s, d):
-    return clean.dedupe_rows(raw_customers(s, d).select(*schema.CATEGORY_COLUMNS, "churn"))
+    return clean.dedupe_rows(raw_customers(s, d).select(*schema.ALL_COLUMNS))
 
 
 @query("duplicate_count")
@@ -463,15 +464,13 @@ def outlier_keep(s, d):
 
 @query("outlier_remove")
 def outlier_remove(s, d):
-    columns = ["total_spend", "session_duration", "refund_amount"]
-    return outliers.treat(_typed(s, d), columns, treatment="remove").select("customer_id", *columns)
+    return outliers.treat(_typed(s, d), _CAPPED, treatment="remove").select("customer_id", *_CAPPED)
 
 
 @query("outlier_cap")
 def outlier_cap(s, d):
-    columns = ["total_spend", "refund_amount"]
-    done = outliers.treat(_typed(s, d), columns, method="zscore", treatment="cap", reach=2.0)
-    return done.select("customer_id", *[_r6(c).alias(c) for c in columns])
+    done = outliers.treat(_typed(s, d), _CAPPED, method="zscore", treatment="cap", reach=2.0)
+    return done.select("customer_id", *[_r6(c).alias(c) for c in _CAPPED])
 
 
 @query("cap_continuous_features")
@@ -663,10 +662,7 @@ def activity_level(s, d):
 
 # --- encoding and scaling --------------------------------------------------------------------------------
 
-_SCALED = [
-    "age", "purchase_frequency", "total_orders", "average_order_value", "total_spend", "discount_usage",
-    "session_duration", "browsing_time", "pages_viewed", "refund_amount", "loyalty_score",
-]
+_SCALED = [c for c in schema.ALL_COLUMNS if c in (*schema.INT_COLUMNS, *schema.FLOAT_COLUMNS) and c != "churn"]
 
 
 @query("onehot_fit")
@@ -679,9 +675,30 @@ def onehot_fit(s, d):
 @query("onehot_transform")
 def onehot_transform(s, d):
     train, test = _parts(s, d)
-    columns = [c for c in schema.CATEGORY_COLUMNS if c != "membership_type"]
-    params = encode.fit_onehot(train, columns)
-    return encode.apply_onehot(test.select("customer_id", *columns), params)
+    params = encode.fit_onehot(train, schema.CATEGORY_COLUMNS)
+    return encode.apply_onehot(test.select("customer_id", *schema.CATEGORY_COLUMNS), params)
+
+
+@query("dictionary_fit")
+def dictionary_fit(s, d):
+    return dictionary.fit_dictionary(_parts(s, d)[0], schema.CATEGORY_COLUMNS)
+
+
+@query("dictionary_places")
+def dictionary_places(s, d):
+    train, test = _parts(s, d)
+    found = stage(dictionary.fit_dictionary(train, schema.CATEGORY_COLUMNS), "dictionary")
+    placed = dictionary.with_places(test, found, dictionary.dictionary_sizes(found))
+    return placed.select("customer_id", *[f"{c}_place" for c in schema.CATEGORY_COLUMNS])
+
+
+@query("sparse_onehot")
+def sparse_onehot(s, d):
+    train, test = _parts(s, d)
+    fitted = dictionary.EncodeStep(columns=list(schema.CATEGORY_COLUMNS)).fit(train)
+    flags = F.posexplode(vector_to_array("encoded")).alias("slot", "flag")
+    held = fitted.transform(test).select("customer_id", flags).where("flag = 1")
+    return held.join(fitted.names(), "slot").select("customer_id", "column", "value")
 
 
 def _scaled(s: SparkSession, d: str, method: str) -> DataFrame:
@@ -707,9 +724,8 @@ def scale_robust(s, d):
 
 @query("scale_frozen")
 def scale_frozen(s, d):
-    params = encode.fit_scaler(_parts(s, d)[0], ["age", "total_spend"], "standard")
-    done = encode.apply_scaler(_prepared(s, d).table, params)
-    return done.select("customer_id", "gender", "total_orders", _r6("age").alias("age"), _r6("total_spend").alias("total_spend"))
+    done = encode.apply_scaler(_prepared(s, d).table, encode.fit_scaler(_parts(s, d)[0], _SCALED, "standard"))
+    return done.select("customer_id", "gender", *[_r6(c).alias(c) for c in _SCALED])
 
 
 # --- model and evaluation ----------------------------------------------------------------------------------
@@ -753,8 +769,12 @@ def model_comparison(s, d):
 
 @query("cross_validate")
 def cross_validate(s, d):
-    params, matrix = _matrix(s, d)
-    return model.cross_validate(matrix, params.names(), grid={"maxDepth": [2, 4]})
+    return tuning.search_settings(raw_customers(s, d), "Decision Tree")
+
+
+@query("random_search")
+def random_search(s, d):
+    return tuning.search_settings(raw_customers(s, d), "Random Forest", draws=4)
 
 
 @query("risk_level")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from stayrate.errors import InputError
 
 
-def _long_form(df: DataFrame, columns: list[str]) -> DataFrame:
+def pairs_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """name, value of every column of every row that has a value."""
     pairs = F.array(*[
         F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")))
         for c in columns
@@ -22,7 +23,7 @@ def most_frequent(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
     Values are counted per partition before the shuffle, so neither a frequent value nor a column
     with very many values ends up in one task.
     """
-    counts = _long_form(df, columns).groupBy("name", "value").agg(F.count("*").alias("n"))
+    counts = pairs_of(df, columns).groupBy("name", "value").agg(F.count("*").alias("n"))
     best = counts.groupBy("name").agg(F.min(F.struct(-F.col("n"), F.col("value"))).alias("best"))
     found = {row["name"]: row["best"]["value"] for row in best.collect()}
     return {c: found.get(c) for c in columns}
@@ -31,7 +32,7 @@ def most_frequent(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
 def categories(df: DataFrame, columns: list[str], most: int) -> dict[str, list[str]]:
     """Sorted distinct values of each column; more than ``most`` in any of them is an error."""
     # one value more than all columns may have together is enough to know that one has too many
-    values = _long_form(df, columns).distinct().limit(most * len(columns) + 1).collect()
+    values = pairs_of(df, columns).distinct().limit(most * len(columns) + 1).collect()
     found: dict[str, list[str]] = {c: [] for c in columns}
     for name, value in values:
         found[name].append(value)

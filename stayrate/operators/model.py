@@ -11,10 +11,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +25,6 @@ from stayrate.operators.encode import (
 from stayrate.operators.features import FeatureParams, apply_features, fit_features
 from stayrate.operators.metrics import classification_report
 from stayrate.operators.outliers import Bounds
-from stayrate.operators.split import assign_folds
 from stayrate.session import shared_folder
 
 LABEL = "churn"
@@ -250,44 +248,3 @@ def compare_models(
     rows.sort(key=lambda r: (-r["f1"], r["model"]))
     fields = "model string, accuracy double, precision double, recall double, f1 double, roc_auc double"
     return train.sparkSession.createDataFrame(rows, fields)
-
-
-def cross_validate(
-    matrix: DataFrame,
-    names: Sequence[str],
-    name: str = "Decision Tree",
-    grid: dict[str, Sequence[object]] | None = None,
-    folds: int = 5,
-    seed: int = 42,
-    parallelism: int = 2,
-) -> DataFrame:
-    """Mean F1 of every setting over stratified folds, best first.
-
-    Fold numbers come from the hash of the customer, so each class is spread evenly.
-    """
-    shared_folder(matrix.sparkSession)
-    estimator = classifier(name, seed)
-    builder = ParamGridBuilder()
-    for option, values in (grid or {"maxDepth": [3, 6]}).items():
-        builder = builder.addGrid(getattr(estimator, option), list(values))
-    settings = builder.build()
-    rows = _training_rows(assign_folds(matrix, folds, seed=seed), names, balanced=True)
-    assembled = _assembler(names).transform(rows).select("features", "label", "weight", "fold")
-    with _held(assembled) as kept:
-        fitted = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=settings,
-            evaluator=MulticlassClassificationEvaluator(metricName="f1", labelCol="label"),
-            numFolds=folds,
-            foldCol="fold",
-            seed=seed,
-            parallelism=parallelism,
-        ).fit(kept)
-    found = [
-        (", ".join(f"{p.name}={v}" for p, v in setting.items()), float(mean))
-        for setting, mean in zip(settings, fitted.avgMetrics, strict=True)
-    ]
-    found.sort(key=lambda r: (-r[1], r[0]))
-    return matrix.sparkSession.createDataFrame(
-        [(i + 1, s, m) for i, (s, m) in enumerate(found)], "place bigint, settings string, mean_f1 double"
-    )
