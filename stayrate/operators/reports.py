@@ -200,13 +200,12 @@ def cohort_retention(
 ) -> DataFrame:
     """Customers of each first-purchase month who buy again, by months since then.
 
-    Orders are reduced to one row per customer and month before anything is compared, so even a
-    customer with most of the orders brings at most one row per month of history.
+    A customer's months are gathered as a set, which no order makes larger than the history has months: one shuffle by
+    customer, and each task has reduced its customers before it.
     """
-    month = (F.year(date) * 12 + F.month(date) - 1).alias("m")
-    active = orders.select(customer, month).distinct()
-    first = F.min("m").over(Window.partitionBy(customer))
-    aged = active.withColumn("first", first).groupBy("first", (F.col("m") - F.col("first")).alias("months_since"))
+    months = orders.groupBy(customer).agg(F.collect_set(F.year(date) * 12 + F.month(date) - 1).alias("months"))
+    active = months.select(F.array_min("months").alias("first"), F.explode("months").alias("m"))
+    aged = active.groupBy("first", (F.col("m") - F.col("first")).alias("months_since"))
     cohort = F.concat(
         F.floor(F.col("first") / 12).cast("string"), F.lit("-"), F.lpad((F.col("first") % 12 + 1).cast("string"), 2, "0")
     )

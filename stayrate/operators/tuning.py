@@ -133,11 +133,12 @@ def search_settings(
     seed: int = 42,
     steps: Callable[[], Sequence[Step]] = chain,
     parallelism: int = 4,
+    partitions: int = 8,
 ) -> DataFrame:
     """place, settings, mean_f1, worst_f1 of every setting, best mean F1 of the churned class first, ties by text.
 
     ``raw`` are raw customer rows; repeated customers and rows without label are left out first. Folds are stratified
-    by label, told by the hash of the customer. Grid or random search, as the model's method says, unless ``settings``
+    by label, told by the hash of the customer. A matrix has ``partitions`` parts, whatever the machine. Grid or random search, as the model's method says, unless ``settings``
     are given.
     """
     require_columns(raw, [LABEL, "customer_id"])
@@ -151,7 +152,7 @@ def search_settings(
     f1 = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0, labelCol="label")
     found: dict[int, list[float]] = {i: [] for i in range(len(settings))}
     for fold in range(folds):
-        _, train, held = fold_matrices(rows, fold, steps())
+        _, train, held = fold_matrices(rows, fold, steps(), partitions)
         train, held = train.persist(), held.persist()
 
         def tried(i: int, train: DataFrame = train, held: DataFrame = held) -> float:

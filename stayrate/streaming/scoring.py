@@ -1,12 +1,18 @@
 """Scoring of new customer rows with a trained bundle, in batch or as they arrive.
 
-Every step uses frozen parameters and works row by row, so a stream needs no state and no watermark.
+Every step but one uses frozen parameters and works row by row. The one is to keep a customer's first row: a stream
+remembers which customers have come, a flag each, in the state that its checkpoint holds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stayrate import schema
 from stayrate.errors import NotFittedError
@@ -15,11 +21,34 @@ from stayrate.plans.preprocess import prepare_frozen
 from stayrate.plans.training import scored_table
 
 
+def first_rows(arrivals: DataFrame, key: str = "customer_id", order: str = schema.INGEST_ORDER) -> DataFrame:
+    """A stream of the first row of each key: of the first micro-batch that has the key, the row that comes first by ``order``.
+
+    Where files arrive in that order, this is what :func:`~stayrate.operators.clean.dedupe_first` keeps of all of them.
+    Rows without a key are left out. The state grows by a flag per key; rows pass through it as JSON, types unchanged.
+    """
+    rows = arrivals.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("order"), F.to_json(F.struct("*")).alias("row"))
+
+    def first(_: tuple, found: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        parts = ((pd.notna(o), int(o) if pd.notna(o) else 0, r) for part in found for o, r in zip(part["order"], part["row"], strict=True))
+        best = min(parts)  # a missing order comes first, as in a batch
+        state.update((True,))
+        yield pd.DataFrame({"row": [best[2]]})
+
+    kept = rows.groupBy("key").applyInPandasWithState(first, "row string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return kept.select(F.from_json("row", arrivals.schema).alias("row")).select("row.*")
+
+
 def score(raw: DataFrame, bundle: Bundle, probability: bool = False) -> DataFrame:
-    """Clean and score new raw rows, labelled or not. A batch keeps the first row of each customer; in a stream
-    every arriving row is scored. Only rows without an id are left out."""
+    """Clean and score the first row of each customer, labelled or not, in a batch or in a stream; rows without an id
+    are left out."""
     if bundle.fills is None or bundle.bounds is None:
         raise NotFittedError("the bundle has no fill values or bounds to clean new rows with")
+    if raw.isStreaming:
+        raw = first_rows(raw)
     clean = prepare_frozen(raw, bundle.fills, bundle.bounds, unique=not raw.isStreaming)
     return scored_table(clean, bundle, probability)
 

@@ -95,9 +95,16 @@ def test_a_save_that_fails_leaves_the_version_before(spark, trained, tmp_path, m
     path = str(tmp_path / "bundle")
     artifacts.save_bundle(spark, made.bundle, path)
     other = model.Bundle(made.bundle.matrix, made.bundle.model)
-    with monkeypatch.context() as broken:
-        broken.setattr(artifacts, "_VERSIONS", "not a schema")
-        with pytest.raises(Exception):
+    write = artifacts.save_fitted
+
+    def broken(session, params, to):
+        if to.endswith("bounds"):
+            raise StorageError("no space left")
+        write(session, params, to)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(artifacts, "save_fitted", broken)
+        with pytest.raises(StorageError):
             artifacts.save_bundle(spark, other, path)
     assert artifacts.load_bundle(spark, path).fills == made.bundle.fills is not None
     artifacts.save_bundle(spark, other, path)
