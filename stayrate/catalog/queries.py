@@ -760,6 +760,35 @@ def feature_importance(s, d):
     return model.feature_importance(_bundle(s, d))
 
 
+@query("export_columns")
+def export_columns(s, d):
+    """What the export holds beside the prediction."""
+    return _rounded(export_scored(s, d).drop("predicted_churn"), _CAPPED)
+
+
+@query("batch_columns")
+def batch_columns(s, d):
+    """What batch scoring returns beside the prediction, of customers that training would keep too."""
+    done = batch_score(s, d).drop("predicted_churn", "churn_probability")
+    return _rounded(done.where("churn IS NOT NULL AND registration_date IS NOT NULL"), _CAPPED)
+
+
+@query("prediction_checks")
+def prediction_checks(s, d):
+    """Every prepared customer has a class, a probability, and the one that goes with the other."""
+    p = F.col("churn_probability")
+    rows = model.predict(_prepared(s, d).table, _bundle(s, d), probability=True)
+    return rows.select(
+        "customer_id", "churn", F.col("predicted_churn").isin(0, 1).alias("known"), p.between(0, 1).alias("in_range"),
+        ((F.col("predicted_churn") == 1) == (p > 0.5)).alias("agrees"))
+
+
+@query("importance_features")
+def importance_features(s, d):
+    """Every input of the model has an importance."""
+    return model.feature_importance(_bundle(s, d)).select("feature", F.col("importance").between(0, 1).alias("in_range"))
+
+
 @query("model_comparison")
 def model_comparison(s, d):
     params, matrix = _matrix(s, d)
