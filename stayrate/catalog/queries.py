@@ -803,7 +803,7 @@ def cross_validate(s, d):
 
 @query("random_search")
 def random_search(s, d):
-    return tuning.search_settings(raw_customers(s, d), "Random Forest", draws=4)
+    return tuning.search_settings(raw_customers(s, d), "Random Forest", folds=3, draws=4)
 
 
 @query("risk_level")

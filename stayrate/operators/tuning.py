@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -114,11 +114,19 @@ def assembled(df: DataFrame, encoded: str = "encoded", weights: list | None = No
     return wide.select(F.col("customer_id").alias("_key"), F.col(LABEL).cast("double").alias("label"), weight.alias("weight"), "features")
 
 
+def fit_chain(rows: DataFrame, steps: Sequence[Step]) -> tuple[PipelineModel, DataFrame]:
+    """The fitted steps and what they make of ``rows``, staged after each step: the next one scans the columns it learns from."""
+    fitted = []
+    for step in steps:
+        fitted.append(step.fit(rows))
+        rows = stage(fitted[-1].transform(rows), "chain")
+    return PipelineModel(fitted), rows
+
+
 def fold_matrices(rows: DataFrame, fold: int, steps: Sequence[Step], partitions: int = PARTITIONS) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """The chain fitted without ``fold``, and the staged matrices of the other folds and of ``fold``."""
     seen, held = (rows.where(c).drop("fold") for c in (F.col("fold") != fold, F.col("fold") == fold))
-    fitted = Pipeline(stages=list(steps)).fit(seen)
-    known = fitted.transform(seen)
+    fitted, known = fit_chain(seen, steps)
     train = assembled(known, weights=class_weights(known).collect())  # a row a class
     train = stage(train.repartition(partitions, "_key").sortWithinPartitions("_key"), "fold_train")
     return fitted, train, stage(assembled(fitted.transform(held)), "fold_held")
