@@ -3,10 +3,12 @@
 A wanted rank lies
 in a gap between two known values, at first in the whole range. A sketch of the rows inside the gap
 proposes values close to the rank, a counting pass tells how many rows lie below and at each of them,
-and the rank is either met or falls into a smaller gap. Every proposed value leaves the gap, so each
+and the rank is either met or falls into a smaller gap. The first sketch is taken with the extent, and
+where the accuracy of a sketch bounds the rows between two proposed values by the limit, the counting
+pass brings them along: two scans settle 10^8 rows. Every proposed value leaves the gap, so each
 round makes progress, by a factor of about a thousand unless values repeat: three rounds of
 column-pruned, shuffle-free scans settle 10^11 rows. What reaches the driver is a few numbers per
-round and, at the end, the distinct values of at most ``GAP_LIMIT`` rows, shared by all gaps.
+round and the values of at most ``GAP_LIMIT`` rows, shared by all gaps.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ class _Gap:
         return reduce(lambda a, b: a & b, tests)
 
     def shares(self, accuracy: int) -> list[float]:
-        """Fractions of the gap's rows a little below and above each run of neighbouring ranks."""
+        """Fractions of the gap's rows in pairs, a little below and above each run of neighbouring ranks."""
         reach = REACH / accuracy
         found: list[float] = []
         ranks = sorted(self.ranks)
@@ -82,9 +84,12 @@ def exact_quantiles(
 def _by_narrowing(
     slim: DataFrame, wanted: dict[str, list[float]], gap_limit: int, accuracy: int
 ) -> dict[str, list[float | None]]:
+    reach = REACH / accuracy
+    around = {c: [s for p in fractions for s in (max(0.0, p - reach), min(1.0, p + reach))] for c, fractions in wanted.items()}
     extent = slim.agg(
         *[f(c).alias(f"{n}{i}") for i, c in enumerate(wanted) for n, f in
-          (("n", F.count), ("lo", F.min), ("hi", F.max))]
+          (("n", F.count), ("lo", F.min), ("hi", F.max))],
+        *[F.percentile_approx(c, shares, accuracy).alias(f"s{i}") for i, (c, shares) in enumerate(around.items())],
     ).first()
     known: Known = {}
     gaps: list[_Gap] = []
@@ -101,8 +106,11 @@ def _by_narrowing(
     limit = gap_limit // max(1, sum(len(g.ranks) for g in gaps))  # every gap holds a rank, so the total is bounded
     wide = [g for g in gaps if g.rows > limit]
     narrow = [g for g in gaps if g.rows <= limit]
+    sketched = {c: extent[f"s{i}"] for i, c in enumerate(wanted)}
+    proposed = [sketched[g.column] for g in wide]
     while wide:
-        smaller = _narrow(slim, wide, accuracy, known)
+        smaller = _count(slim, wide, proposed or _sketch(slim, wide, accuracy), accuracy, limit, known)
+        proposed = []
         narrow += [g for g in smaller if g.rows <= limit]
         wide = [g for g in smaller if g.rows > limit]
     _look_up(slim, narrow, known)
@@ -123,30 +131,49 @@ def _neighbours(fraction: float, last: int) -> tuple[int, int]:
     return rank, min(rank + 1, last)
 
 
-def _narrow(slim: DataFrame, gaps: list[_Gap], accuracy: int, known: Known) -> list[_Gap]:
-    """One sketch pass and one counting pass over all gaps; returns the smaller gaps."""
+def _sketch(slim: DataFrame, gaps: list[_Gap], accuracy: int) -> list[list[float]]:
+    """Per gap pairs of values, a little below and above each run of its ranks."""
     sketches = slim.agg(*[
         F.percentile_approx(F.when(g.holds(), F.col(g.column)), g.shares(accuracy), accuracy).alias(f"s{i}")
         for i, g in enumerate(gaps)
     ]).first()
-    proposed = [sorted(set(values)) for values in sketches]
-    counts = slim.agg(*[
+    return [list(values) for values in sketches]
+
+
+def _count(slim: DataFrame, gaps: list[_Gap], sketched: list[list[float]], accuracy: int, limit: int, known: Known) -> list[_Gap]:
+    """One pass over all gaps that counts at the proposed values; returns the smaller gaps.
+
+    A sketch is off by at most one row in ``accuracy``, so few rows lie between the values of a pair. Where that bound
+    is within the limit they come along, and the ranks among them are known.
+    """
+    proposed = [sorted(set(values)) for values in sketched]
+    few = [(2 * REACH + 2) / accuracy * g.rows + 2 <= limit for g in gaps]
+    pairs = [sorted({(a, b) for a, b in zip(v[::2], v[1::2], strict=True) if a < b}) if f else [] for v, f in zip(sketched, few, strict=True)]
+    row = slim.agg(*[
         F.count_if(test).alias(f"{name}{i}_{k}")
         for i, g in enumerate(gaps)
         for k, v in enumerate(proposed[i])
         for name, test in (("lt", F.col(g.column) < F.lit(v)), ("eq", F.col(g.column) == F.lit(v)))
+    ], *[
+        F.collect_list(F.when((F.col(g.column) > F.lit(a)) & (F.col(g.column) < F.lit(b)), F.col(g.column))).alias(f"in{i}_{j}")
+        for i, g in enumerate(gaps)
+        for j, (a, b) in enumerate(pairs[i])
     ]).first()
     smaller: list[_Gap] = []
     for i, g in enumerate(gaps):
-        ends = [(v, counts[f"lt{i}_{k}"], counts[f"eq{i}_{k}"]) for k, v in enumerate(proposed[i])]
+        ends = [(v, row[f"lt{i}_{k}"], row[f"eq{i}_{k}"]) for k, v in enumerate(proposed[i])]
+        for v, lt, eq in ends:
+            known.update({(g.column, r): v for r in g.ranks if lt <= r < lt + eq})
+        upto_value = {v: lt + eq for v, lt, eq in ends}
+        for j, (a, _) in enumerate(pairs[i]):
+            between, start = sorted(row[f"in{i}_{j}"]), upto_value[a]
+            known.update({(g.column, r): between[r - start] for r in g.ranks if 0 <= r - start < len(between)})
         lows = [(g.low, g.below), *[(v, lt + eq) for v, lt, eq in ends]]
         highs = [*[(v, lt) for v, lt, _ in ends], (g.high, g.below + g.rows)]
         for (low, below), (high, upto) in zip(lows, highs, strict=True):
-            ranks = [r for r in g.ranks if below <= r < upto]
+            ranks = [r for r in g.ranks if below <= r < upto and (g.column, r) not in known]
             if ranks:
                 smaller.append(_Gap(g.column, low, high, below, upto - below, ranks))
-        for v, lt, eq in ends:
-            known.update({(g.column, r): v for r in g.ranks if lt <= r < lt + eq})
     return smaller
 
 
