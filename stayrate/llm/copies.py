@@ -5,9 +5,10 @@ keys: all that begin with its bits, as many as its depth. An overfull bucket spl
 as deep as the directory, the directory doubles, so that it has a slot for each beginning of the deepest bucket. The
 loads of all buckets that one round can reach are counted together, ``STEP`` doublings a round.
 
-Texts go to the tasks that own their bucket, and copies that one task reads go there once. There the texts of one key
-form a chain: equal bytes are one member, other bytes the next. The pages of the index, sorted by key range, hold per
-member its key, place in the chain, digest, number of rows and the row that stays; they never hold texts.
+Texts are dealt out by bucket, key and content, so that copies that one task reads travel once and a group of any size
+has no task of its own; there equal bytes become one member of the chain of their key, other bytes the next. The pages
+of the index lie in key ranges, each owned by the task that writes it, and hold per member its key, place in the chain,
+digest, number of rows and the row that stays; they never hold texts.
 """
 
 from __future__ import annotations
