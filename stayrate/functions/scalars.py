@@ -113,6 +113,7 @@ def recode(value: Column | str, names: dict, default: object = None) -> Column:
     return chain.otherwise(F.lit(default))
 
 
+# Label texts of the two functions below
 def label_churn(value: Column | str) -> Column:
     """Retained or Churned."""
     return recode(value, {0: "Retained", 1: "Churned"})

@@ -170,6 +170,7 @@ def loyalty_score(raw: Column, low: float, high: float) -> Column:
 def membership_tier(loyalty: Column | str) -> Column:
     """Tier by loyalty score."""
     s = as_column(loyalty)
+    # Limits and names of the tiers
     return F.when(s > 85, "Premium").when(s > 60, "Gold").when(s > 30, "Silver").otherwise("Basic")
 
 

@@ -98,6 +98,7 @@ def with_engagement_v2(df: DataFrame) -> DataFrame:
     """Half browsing and three tenths pages, each by its maximum, and two tenths purchase frequency."""
     row = df.agg(F.max(F.col("browsing_time").cast("double")), F.max(F.col("pages_viewed").cast("double"))).first()
     parts = [F.try_divide(F.col(c).cast("double"), F.lit(m or 0.0)) for c, m in zip(("browsing_time", "pages_viewed"), row)]
+    # The weights
     score = parts[0] * F.lit(0.5) + parts[1] * F.lit(0.3) + F.col("purchase_frequency") * F.lit(0.2)
     return df.withColumn("engagement_score_v2", score)
 

@@ -79,6 +79,7 @@ def concat_scores(r: Column, f: Column, m: Column) -> Column:
 
 def segment(r: Column, f: Column, m: Column) -> Column:
     """Business segment of three scores; Unknown when one is missing."""
+    # Limits and names of the segments
     return (
         F.when(r.isNull() | f.isNull() | m.isNull(), "Unknown")
         .when((r >= 4) & (f >= 4) & (m >= 4), "Champions")

@@ -65,7 +65,7 @@ class OneOf:
 #: What is tried by default: values of a grid, or distributions.
 RANGES: dict[str, dict[str, Sequence | Draw]] = {
     "Logistic Regression": {"regParam": (0.0, 0.001, 0.01, 0.1), "elasticNetParam": (0.0, 0.5, 1.0)},
-    "Decision Tree": {"maxDepth": (3, 5, 10), "minInstancesPerNode": (1, 5, 20), "impurity": ("gini", "entropy")},
+    "Decision Tree": {"maxDepth": (3, 5, 10), "minInstancesPerNode": (1, 5, 20)},
     "Random Forest": {"numTrees": Between(50, 200), "maxDepth": Between(4, 14), "minInstancesPerNode": Between(1, 20),
                       "featureSubsetStrategy": OneOf(("sqrt", "log2", "onethird"))},
     "Gradient Boosting": {"maxIter": Between(10, 60), "maxDepth": Between(2, 6), "stepSize": Between(0.02, 0.3, True),

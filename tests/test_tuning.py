@@ -114,7 +114,7 @@ def test_settings():
     assert drawn == tuning.settings_of("Random Forest", 7, 5) != tuning.settings_of("Random Forest", 7, 6)
     assert len(drawn) == 7 and all(50 <= s["numTrees"] <= 200 and 4 <= s["maxDepth"] <= 14 for s in drawn)
     assert all(0.02 <= s["stepSize"] <= 0.3 for s in tuning.settings_of("Gradient Boosting", 20, 1))
-    assert len(tuning.settings_of("Decision Tree")) == 18 and len(tuning.settings_of("Logistic Regression")) == 12
+    assert len(tuning.settings_of("Decision Tree")) == 9 and len(tuning.settings_of("Logistic Regression")) == 12
     assert len(tuning.drawn_settings({"a": (1, 2)}, 5, 1)) == 2  # no more than there are
     with pytest.raises(OptionError):
         tuning.settings_of("Oracle")
