@@ -612,6 +612,10 @@ def _bodies() -> dict[str, str]:
     q["sales_by_period"] = f"SELECT period, start, {r6('revenue', 'revenue')}, orders FROM ({periods})"
     q["cohort_retention"] = """SELECT strftime(f, '%Y-%m') AS cohort, date_diff('month', f, o_orderdate) AS months_since, count(DISTINCT o_custkey) AS customers
         FROM (SELECT o_custkey, o_orderdate, date_trunc('month', min(o_orderdate) OVER (PARTITION BY o_custkey)) AS f FROM orders) GROUP BY 1, 2"""
+    q["cohort_retention_bucketed"], q["purchase_interval_bucketed"] = q["cohort_retention"], q["purchase_interval"]
+    q["observed_checks"] = f"""SELECT 'domain' AS "check", rule AS name, CAST(violations AS DOUBLE) AS figure FROM ({q["domain_violations"]})
+        UNION ALL SELECT 'outlier', "column", CAST(outliers AS DOUBLE) FROM ({q["outlier_flag_count"]})
+        UNION ALL SELECT 'label', 'rate', churn_rate FROM ({q["label_rate_check"]})"""
     q["sales_by_payment"] = f"SELECT payment_method, {r6(_money('total_spend'), 'revenue')}, count(*) AS customers FROM typed GROUP BY 1"
     q["sales_by_region"] = f"""SELECT r_name AS region, n_name AS nation, {r6(_money('o_totalprice'), 'revenue')}, count(*) AS orders
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"""

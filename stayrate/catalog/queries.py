@@ -18,11 +18,11 @@ from stayrate.functions.scalars import (
     clip, days_between, label_churn, label_prediction, min_max, month_bucket, round_half_even, round_half_up,
 )
 from stayrate.operators import (
-    checks, clean, derive, dictionary, encode, engagement, features, metrics, model, outliers, reports, rfm, split, tuning,
+    checks, clean, derive, dictionary, encode, engagement, features, metrics, model, observed, outliers, reports, rfm, split, tuning,
 )
 from stayrate.plans import augment, preprocess, training
 from stayrate.session import keep, once, shared_folder, stage, tuned
-from stayrate.sources import artifacts, files
+from stayrate.sources import artifacts, files, layout
 from stayrate.sources.customers import base_customers, raw_customers, read
 from stayrate.streaming import scoring
 
@@ -169,6 +169,14 @@ def domain_violations(s, d):
     return checks.domain_violations(_typed(s, d))
 
 
+@query("observed_checks")
+def observed_checks(s, d):
+    """Domain, label and outlier figures, collected while the cleaned table is written."""
+    rows = _typed(s, d)
+    figures = observed.stage_checked(rows, "checked", outliers.iqr_bounds(rows, _CAPPED))[1]
+    return figures.withColumn("figure", _r6("figure"))
+
+
 @query("label_rate_check")
 def label_rate_check(s, d):
     return checks.label_rate_check(_typed(s, d)).withColumn("churn_rate", _r6("churn_rate"))
@@ -608,6 +616,23 @@ def avg_monthly_spend(s, d):
     return _typed(s, d).select("customer_id", _r6(features.avg_monthly_spend()).alias("avg_monthly_spend"))
 
 
+def _bucketed_orders(s: SparkSession, d: str) -> DataFrame:
+    """The orders, bucketed by customer; the files go with the staged tables."""
+    path = _folder(s, "orders", d)
+    return keep(s, ("bucketed", d), lambda: layout.write_bucketed(read(s, d, "orders"), f"orders_{path.rsplit('-', 1)[1]}", "o_custkey", path))
+
+
+@query("purchase_interval_bucketed")
+def purchase_interval_bucketed(s, d):
+    gaps = features.purchase_interval(_bucketed_orders(s, d), "o_custkey", "o_orderdate")
+    return gaps.select("o_custkey", _r6("purchase_interval").alias("purchase_interval"))
+
+
+@query("cohort_retention_bucketed")
+def cohort_retention_bucketed(s, d):
+    return reports.cohort_retention(_bucketed_orders(s, d))
+
+
 @query("purchase_interval")
 def purchase_interval(s, d):
     gaps = features.purchase_interval(read(s, d, "orders"), "o_custkey", "o_orderdate")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,15 +90,21 @@ def distinct_options(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return found.distinct().orderBy("column", "option")
 
 
-def domain_violations(df: DataFrame, domains: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """Number of rows outside the allowed values, per rule; missing values are counted as outside.
+def domain_rules(domains: dict[str, Sequence[str]] | None = None) -> dict[str, Column]:
+    """Per rule, whether a row breaks it; a missing value does.
 
-    The last rule, ``city_state``, counts rows whose known city lies in another state.
+    The last rule, ``city_state``, is broken where a known city lies in another state.
     """
     domains = schema.DOMAINS if domains is None else domains
     rules = {c: ~F.coalesce(F.col(c).isin(list(v)), F.lit(False)) for c, v in domains.items()}
     home = recode("city", schema.CITY_STATE)
     rules["city_state"] = F.coalesce(home != F.col("state"), F.lit(False))
+    return rules
+
+
+def domain_violations(df: DataFrame, domains: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Number of rows outside the allowed values, per rule."""
+    rules = domain_rules(domains)
     counts = df.agg(*[F.count_if(test).alias(rule) for rule, test in rules.items()])
     return counts.unpivot([], list(rules), "rule", "violations")
 

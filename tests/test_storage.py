@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from stayrate import schema
 from stayrate.errors import StorageError
-from stayrate.operators import reports
+from stayrate.operators import features, observed, reports
 from stayrate.operators.clean import dedupe_first
-from stayrate.sources import artifacts, tables
+from stayrate.sources import artifacts, layout, tables
 from stayrate.sources.customers import raw_customers
 from stayrate.streaming import scoring
 from tests.conftest import SF
@@ -96,3 +96,31 @@ def test_cohorts_take_one_shuffle_by_customer(spark):
     plan = reports.cohort_retention(orders)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(o_custkey") == 1 and plan.count("Exchange hashpartitioning") == 2
     assert "Window" not in plan
+
+
+def test_bucketed_orders_need_no_shuffle_by_customer(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    bucketed = layout.write_bucketed(orders, "orders_bucketed", "o_custkey", buckets=8)
+    for run in (lambda o: features.purchase_interval(o, "o_custkey", "o_orderdate"), reports.cohort_retention):
+        plan = run(bucketed)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(o_custkey" not in plan
+        assert sorted(map(str, run(bucketed).collect())) == sorted(map(str, run(orders).collect()))
+    with pytest.raises(Exception, match="missing columns"):
+        layout.write_bucketed(orders, "orders_bucketed", "absent")
+
+
+def test_checks_ride_on_the_write(spark):
+    rows = spark.createDataFrame([("Male", 1, 5.0, "a", "b"), ("X", 0, 500.0, "a", "b"), (None, 0, 1.0, "a", "b")], "gender string, churn long, total_spend double, city string, state string")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("checked", "")
+    kept, figures = observed.stage_checked(rows, "checked", {"total_spend": (0.0, 10.0)}, {"gender": ["Male", "Female"]})
+    ran = len(jobs.getJobIdsForGroup("checked"))
+    spark.sparkContext.setJobGroup("plain", "")
+    from stayrate.session import stage
+    stage(rows, "plain")
+    assert ran == len(jobs.getJobIdsForGroup("plain")) and kept.count() == 3
+    found = {(r["check"], r["name"]): r["figure"] for r in figures.collect()}
+    assert found == {("domain", "gender"): 2.0, ("domain", "city_state"): 0.0, ("outlier", "total_spend"): 1.0, ("label", "rate"): pytest.approx(1 / 3)}
+    watched, watch = observed.observe_checks(rows, domains={})
+    watched.count()
+    assert observed.rate_in_range(watch) in (True, False)
