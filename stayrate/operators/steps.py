@@ -52,8 +52,9 @@ class _Stage(DefaultParamsReadable, DefaultParamsWritable):
 
 
 class FittedStep(_Stage, Model):
-    """The fitted half: override ``apply``."""
+    """The fitted half: override ``apply``; ``light`` says that repeating it costs less than writing what it makes."""
 
+    light = False
     state = Param(Params._dummy(), "state", "what was learnt, as JSON", TypeConverters.toString)
 
     def learnt(self) -> dict:
@@ -105,6 +106,8 @@ class CleanStep(Step):
 class Cap(FittedStep):
     """Cap at known bounds."""
 
+    light = True
+
     def apply(self, df, state):
         return cap(df, {c: tuple(b) for c, b in state.items()})
 
@@ -138,6 +141,8 @@ class EngineerStep(Step):
 class Scale(FittedStep):
     """Scale in place; a number that is missing counts as the center."""
 
+    light = True
+
     def apply(self, df, state):
         scaled = apply_scaler(df, ScaleParams(**state))
         return scaled.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in state["columns"]})

@@ -115,11 +115,13 @@ def assembled(df: DataFrame, encoded: str = "encoded", weights: list | None = No
 
 
 def fit_chain(rows: DataFrame, steps: Sequence[Step]) -> tuple[PipelineModel, DataFrame]:
-    """The fitted steps and what they make of ``rows``, staged after each step: the next one scans the columns it learns from."""
+    """The fitted steps and what they make of ``rows``, staged where a later step learns from it and its making is not light."""
     fitted = []
-    for step in steps:
+    for i, step in enumerate(steps):
         fitted.append(step.fit(rows))
-        rows = stage(fitted[-1].transform(rows), "chain")
+        rows = fitted[-1].transform(rows)
+        if i + 1 < len(steps) and not fitted[-1].light:
+            rows = stage(rows, "chain")
     return PipelineModel(fitted), rows
 
 

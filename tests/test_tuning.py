@@ -109,6 +109,20 @@ def test_validation_rows_are_unseen(spark):
     assert train.join(held, "_key").isEmpty() and held.count() > 0
 
 
+def test_light_and_last_steps_are_not_staged(spark, monkeypatch):
+    raw = dedupe_first(nan_to_null(raw_customers(spark, SF))).where("churn is not null").persist()
+    staged, kept = [], tuning.stage
+    monkeypatch.setattr(tuning, "stage", lambda df, name: staged.append(name) or kept(df, name))
+    fitted, rows = tuning.fit_chain(raw, tuning.chain())
+    assert staged == ["chain"] * 2  # cleaned and engineered rows; capping and scaling are repeated, nothing learns from encoded ones
+    again = raw
+    for step in fitted.stages:
+        again = kept(step.transform(again), "again")
+    assert rows.columns == again.columns
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, again.collect()))
+    raw.unpersist()
+
+
 def test_settings():
     drawn = tuning.settings_of("Random Forest", 7, 5)
     assert drawn == tuning.settings_of("Random Forest", 7, 5) != tuning.settings_of("Random Forest", 7, 6)
