@@ -62,9 +62,14 @@ def _unique(s: SparkSession, d: str) -> DataFrame:
     return once(s, ("unique", d), lambda: clean.dedupe_first(clean.nan_to_null(raw_customers(s, d))))
 
 
-def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _marked(s: SparkSession, d: str) -> DataFrame:
+    """The prepared table with its split, as staged with it."""
     _prepared(s, d)
-    marked = once(s, ("marked", d), lambda: split.assign_test(_prepared(s, d).table))
+    return once(s, ("marked", d), lambda: split.assign_test(_prepared(s, d).table))
+
+
+def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    marked = _marked(s, d)
     return marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
 
 
@@ -505,7 +510,7 @@ def winsorize(s, d):
 
 @query("stratified_split")
 def stratified_split(s, d):
-    return split.assign_test(_prepared(s, d).table).select("customer_id", "churn", "is_test")
+    return _marked(s, d).select("customer_id", "churn", "is_test")
 
 
 @query("stratified_folds")

@@ -8,8 +8,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from stayrate.catalog import queries
 from stayrate.errors import InputError, NotFittedError, OptionError
-from stayrate.operators import tuning
+from stayrate.operators import split, tuning
 from stayrate.operators.clean import dedupe_first, nan_to_null
 from stayrate.operators.dictionary import EncodeStep, dictionary_sizes, fit_dictionary, with_places
 from stayrate.operators.encode import apply_onehot, fit_onehot
@@ -123,6 +124,16 @@ def test_light_and_last_steps_are_not_staged(spark, monkeypatch):
     raw.unpersist()
 
 
+def test_split_is_made_once(spark, monkeypatch):
+    want = {r["customer_id"]: r["is_test"] for r in split.assign_test(queries._prepared(spark, SF).table).collect()}
+
+    def counted(*args):
+        raise AssertionError("the split is staged already")
+
+    monkeypatch.setattr(split, "assign_test", counted)
+    assert {r["customer_id"]: r["is_test"] for r in queries.QUERIES["stratified_split"](spark, SF).collect()} == want
+
+
 def test_settings():
     drawn = tuning.settings_of("Random Forest", 7, 5)
     assert drawn == tuning.settings_of("Random Forest", 7, 5) != tuning.settings_of("Random Forest", 7, 6)
