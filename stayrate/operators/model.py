@@ -145,6 +145,13 @@ def classifier(name: str, seed: int = 42, **options: object):
     return GBTClassifier(**{**common, "maxIter": 20, "maxDepth": 5, "seed": seed, **options})
 
 
+def without_summary(fitted):
+    """A fitted classifier without its training summary: that holds the session, which cannot be sent to tasks once it observed a table."""
+    if getattr(fitted, "hasSummary", False):
+        fitted._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return fitted
+
+
 def train_model(
     matrix: DataFrame,
     names: Sequence[str],
@@ -162,7 +169,9 @@ def train_model(
     require_columns(matrix, [*names, LABEL])
     shared_folder(matrix.sparkSession)  # long lineages of tree fitting are cut there
     with _held(_training_rows(matrix, names, balanced, partitions)) as rows:
-        return Pipeline(stages=[_assembler(names), classifier(name, seed, **options)]).fit(rows)
+        fitted = Pipeline(stages=[_assembler(names), classifier(name, seed, **options)]).fit(rows)
+    without_summary(fitted.stages[-1])
+    return fitted
 
 
 def train_bundle(
@@ -239,7 +248,7 @@ def compare_models(
     checked = _assembler(names).transform(_training_rows(test, names, balanced=False))
     with _held(assembled.select("features", "label", "weight")) as known, _held(checked.select("features", "label")) as new:
         for name in models:
-            fitted = classifier(name, **options.get(name.replace(" ", "_"), {})).fit(known)
+            fitted = without_summary(classifier(name, **options.get(name.replace(" ", "_"), {})).fit(known))
             scored = fitted.transform(new)
             marked = scored.select(
                 F.col("label").cast("bigint").alias("label"), F.col("prediction").cast("bigint").alias("pred")

@@ -24,7 +24,7 @@ from stayrate.errors import InputError
 from stayrate.operators.checks import columns_by_type, require_columns, require_known
 from stayrate.operators.clean import dedupe_first, nan_to_null
 from stayrate.operators.dictionary import EncodeStep
-from stayrate.operators.model import LABEL, LEAKING, NOT_FEATURES, PARTITIONS, class_weights, classifier, weight_column
+from stayrate.operators.model import LABEL, LEAKING, NOT_FEATURES, PARTITIONS, class_weights, classifier, weight_column, without_summary
 from stayrate.operators.split import assign_folds
 from stayrate.operators.steps import CapStep, CleanStep, EngineerStep, ScaleStep, Step
 from stayrate.session import shared_folder, stage
@@ -166,7 +166,7 @@ def search_settings(
         train, held = train.persist(), held.persist()
 
         def tried(i: int, train: DataFrame = train, held: DataFrame = held) -> float:
-            return f1.evaluate(classifier(name, seed, **settings[i]).fit(train).transform(held))
+            return f1.evaluate(without_summary(classifier(name, seed, **settings[i]).fit(train)).transform(held))
 
         pool = ThreadPool(min(parallelism, len(settings)) or 1)
         try:

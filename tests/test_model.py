@@ -258,3 +258,15 @@ def test_tables_and_files(spark, six, tmp_path):
     with pytest.raises(StorageError, match="Gender"):
         files.scan_base_csv(spark, str(tmp_path / "lacking.csv"))
     assert files.options_of(six, "gender") == ["Female", "Male"]
+
+
+def test_models_predict_after_an_observation(spark):
+    from pyspark.sql import Observation
+
+    df = spark.range(40).select(F.col("id").cast("string").alias("customer_id"), F.col("id").cast("double").alias("x"), (F.col("id") % 2).alias("churn"))
+    watch = Observation()
+    df.observe(watch, F.count(F.lit(1)).alias("n")).count()
+    assert watch.get["n"] == 40
+    for name, options in (("Random Forest", {"numTrees": 2}), ("Logistic Regression", {"maxIter": 2})):
+        fitted = model.train_model(df, ["x"], name, partitions=2, **options)
+        assert len(fitted.transform(df).select("prediction").collect()) == 40
