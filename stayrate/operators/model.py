@@ -9,11 +9,12 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
+    DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, LogisticRegression,
+    RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ LEAKING = ("recency_days", "rfm_segment", "customer_lifetime_value")
 # Bagging draws per partition, so training rows are dealt by customer into a number that no machine or table changes.
 PARTITIONS = 32
 MODELS = ("Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting")
+TREES = (DecisionTreeClassificationModel, RandomForestClassificationModel, GBTClassificationModel)
 
 
 @dataclass(frozen=True)
@@ -191,7 +193,12 @@ def train_bundle(
 def _scored_rows(matrix: DataFrame, names: Sequence[str], model: PipelineModel) -> DataFrame:
     # A number that is missing in a new row counts as the center of its column.
     numeric = matrix.withColumns({n: F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)) for n in names})
-    return model.transform(numeric)
+    assembler, fitted = model.stages
+    rows = assembler.transform(numeric)
+    if isinstance(fitted, TREES):
+        # A tree asks for one feature per node; the assembler's sparse vectors search for each of them.
+        rows = rows.withColumn("features", array_to_vector(vector_to_array("features")))
+    return fitted.transform(rows)
 
 
 def predict(df: DataFrame, bundle: Bundle, probability: bool = False) -> DataFrame:

@@ -270,3 +270,22 @@ def test_models_predict_after_an_observation(spark):
     for name, options in (("Random Forest", {"numTrees": 2}), ("Logistic Regression", {"maxIter": 2})):
         fitted = model.train_model(df, ["x"], name, partitions=2, **options)
         assert len(fitted.transform(df).select("prediction").collect()) == 40
+
+
+def test_trees_score_dense_vectors(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    names = [f"x{i}" for i in range(9)]
+    slot = F.col("id") % 9
+    columns = [F.when(slot == i, F.col("id") % 7 + 1.0).otherwise(0.0).alias(n) for i, n in enumerate(names)]
+    df = spark.range(90).select(F.col("id").cast("string").alias("customer_id"), (slot % 2).alias("churn"), *columns)
+    for name, dense, options in (("Random Forest", True, {"numTrees": 3, "maxDepth": 3}), ("Decision Tree", True, {"maxDepth": 3}),
+                                 ("Logistic Regression", False, {"maxIter": 2})):
+        fitted = model.train_model(df, names, name, partitions=2, **options)
+        plain = fitted.transform(df)
+        assert all(len(r["features"].toArray()) > r["features"].numNonzeros() for r in plain.select("features").collect())
+        scored = model._scored_rows(df.withColumn("x0", F.when(F.col("x0") > 0, F.col("x0"))), names, fitted)
+        assert {type(r["features"]).__name__ == "DenseVector" for r in scored.select("features").collect()} == {dense}
+        found, wanted = ({r[0]: tuple(r) for r in x.select("customer_id", "prediction", vector_to_array("probability").alias("p")).collect()}
+                         for x in (scored, plain))
+        assert found == wanted
